@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from . import langid, quality
+from .common import fold, table
 from .packing import pack_documents
 
 
@@ -21,8 +23,26 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), 4096, 1)
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three of four folds."""
+    docs = table(spark, sf_dir, "documents")
+    langs, matrix = langid.train(docs, fold(F.col("doc_id"), 4) != 2)
+    found = langid.identify(docs, langs, matrix, keep=["doc_id"])
+    return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document, learned from four of five folds."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
+    found = quality.score(docs, model, 0.3, keep=["doc_id"])
+    return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
+    "op5_langid": op5_langid,
+    "op7_quality": op7_quality,
 }
 
 #: DuckDB SQL where it can express the query.
