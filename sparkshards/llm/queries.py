@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality
+from . import langid, quality, sharding, urlfilter, warc
 from .common import fold, table
 from .packing import pack_documents
 
 
+SHARD_BYTES = 1 << 20
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -23,6 +27,27 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), 4096, 1)
 
 
+def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document, of at most 1 MiB of text each."""
+    found = sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
+    return found.select("doc_id", F.col("bytes").alias("n_bytes"), "shard_id", "shard_bytes", F.col("depth").cast("long").alias("depth"))
+
+
+def op3_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged; a page is labelled bad if the label of its number is of low quality or toxic."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    marks = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("page_id")).agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"))
+    labelled = pages.select("page_id", "url").join(marks, "page_id").select("url", (F.col("bad") == 1).alias("block"))
+    found = urlfilter.judge(pages, labelled, URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back."""
+    found = warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+    return found.select(F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from three of four folds."""
     docs = table(spark, sf_dir, "documents")
@@ -41,9 +66,20 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
+    "op2_shard": op2_shard,
+    "op3_urlfilter": op3_urlfilter,
     "op5_langid": op5_langid,
+    "op6_warc": op6_warc,
     "op7_quality": op7_quality,
 }
 
 #: DuckDB SQL where it can express the query.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_shard": f"""
+        with d as (select doc_id, coalesce(strlen(text), 0) as n_bytes, ('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null')), 1, 15))::bigint as h from documents),
+        sums as (select depth, h >> (60 - depth) as prefix, sum(n_bytes)::bigint as bytes from d, range(0, 61) t(depth) group by all),
+        leaf as (select doc_id, n_bytes, min(depth) as depth from d, sums
+                 where prefix = h >> (60 - depth) and bytes <= {SHARD_BYTES} group by doc_id, n_bytes)
+        select l.doc_id, l.n_bytes, 's' || case when l.depth = 0 then '' else right(lpad(bin(d.h), 60, '0')[1:l.depth], l.depth::int) end as shard_id, s.bytes as shard_bytes, l.depth::bigint as depth
+        from leaf l join d using (doc_id) join sums s on s.depth = l.depth and s.prefix = d.h >> (60 - l.depth)""",
+}
