@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, sharding, urlfilter, warc
+from . import langid, quality, sharding, tokencounts, urlfilter, warc
 from .common import fold, table
 from .packing import pack_documents
 
@@ -64,6 +64,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op9_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, each document encoded as a whole."""
+    import public_tokenizers
+
+    found = tokencounts.count_tokens(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.select("doc_id", "section", "char_start", "char_end", F.col("tokens").cast("long").alias("tokens"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_shard": op2_shard,
@@ -71,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_langid": op5_langid,
     "op6_warc": op6_warc,
     "op7_quality": op7_quality,
+    "op9_tokencounts": op9_tokencounts,
 }
 
 #: DuckDB SQL where it can express the query.

@@ -70,15 +70,19 @@ def url_tokens(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(tagged("h:", F.split(host_of(url), r"\.")), tagged("p:", F.split(path_of(url), "/")), tagged("q:", keys))))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.7) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = 0.001, min_confidence: float = 0.7, min_rows: int = 20) -> DataFrame:
     """(key token, tokens, confidence, support) of the rules that conclude a block.
 
-    ``labelled``: url and block (boolean).
+    ``labelled``: url and block (boolean).  A combination must occur in ``min_support``
+    of the labelled rows and in ``min_rows`` of them at least.
     """
     items = labelled.where(F.col("block").isNotNull()).select(
         F.when(F.col("block"), F.array_append(url_tokens(F.col("url")), LABEL)).otherwise(url_tokens(F.col("url"))).alias("items")
     )
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    n = items.count()
+    if n == 0:
+        return labelled.sparkSession.createDataFrame([], "token string, tokens array<string>, confidence double, support double")
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_rows / n)), minConfidence=min_confidence).fit(items)
     seen = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == LABEL))
     found = found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").withColumn("rule_id", F.md5(F.array_join("tokens", "\n")))
@@ -100,11 +104,11 @@ def match_mined(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return met.groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
-def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", min_support: float = 0.005, min_confidence: float = 0.7) -> DataFrame:
+def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", min_support: float = 0.001, min_confidence: float = 0.7, min_rows: int = 20) -> DataFrame:
     """id, url, host, path, rule, verdict and, where mined rules blocked, their confidence."""
     rows = pages.select(F.col(id_col).alias(id_col), F.col(url_col).cast("string").alias("url"))
     rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).withColumn("fit", match_rules(F.col("host"), F.col("path"), rules))
-    mined = mine_rules(labelled, min_support, min_confidence)
+    mined = mine_rules(labelled, min_support, min_confidence, min_rows)
     if mined.count() <= BROADCAST_RULES:
         mined = F.broadcast(mined)
     blocked = match_mined(rows, mined)
