@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, sharding, tokencounts, urlfilter, warc
+from . import fingerprints, langid, quality, sharding, tokencounts, urlfilter, warc
 from .common import fold, table
 from .packing import pack_documents
 
@@ -64,6 +64,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every document and of its edited text."""
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document, each document encoded as a whole."""
     import public_tokenizers
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_langid": op5_langid,
     "op6_warc": op6_warc,
     "op7_quality": op7_quality,
+    "op8_fingerprints": op8_fingerprints,
     "op9_tokencounts": op9_tokencounts,
 }
 
