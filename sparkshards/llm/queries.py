@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, quality, sharding, tokencounts, urlfilter, warc
+from . import decontaminate, fingerprints, langid, quality, sharding, tokencounts, urlfilter, warc
 from .common import fold, table
 from .packing import pack_documents
 
@@ -48,6 +48,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item."""
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word")
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from three of four folds."""
     docs = table(spark, sf_dir, "documents")
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_shard": op2_shard,
     "op3_urlfilter": op3_urlfilter,
+    "op4_decontaminate": op4_decontaminate,
     "op5_langid": op5_langid,
     "op6_warc": op6_warc,
     "op7_quality": op7_quality,
