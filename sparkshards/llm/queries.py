@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, langid, quality, sharding, tokencounts, urlfilter, warc
+from . import decontaminate, fingerprints, jaccard, langid, quality, sharding, tokencounts, urlfilter, warc
 from .common import fold, table
 from .packing import pack_documents
 
@@ -83,6 +83,11 @@ def op9_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "section", "char_start", "char_end", F.col("tokens").cast("long").alias("tokens"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), 80, 5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_shard": op2_shard,
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_fingerprints": op8_fingerprints,
     "op9_tokencounts": op9_tokencounts,
+    "op10_jaccard": op10_jaccard,
 }
 
 #: DuckDB SQL where it can express the query.
