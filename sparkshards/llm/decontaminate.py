@@ -230,26 +230,31 @@ def _overlap(grams: np.ndarray, passage: np.ndarray) -> float:
     return 1.0 if not len(grams) else float(np.isin(grams, passage).mean())
 
 
+def _leaks(texts: list[str | None], indexes: list[Index], overlap: float) -> Iterator[tuple[int, int | None, tuple]]:
+    """(row, item, figures of its best passage) of the texts of a batch."""
+    texts = [t.lower() if t else t for t in texts]
+    for first, run in blocks(texts):
+        starts, words = word_hashes(b" ".join(run).translate(_BLANK))
+        cuts = np.searchsorted(starts, np.cumsum([0] + [len(d) + 1 for d in run]))
+        for index in indexes:
+            best: dict[tuple[int, int], tuple] = {}
+            for doc, begin, stop, terms in index.passages(words, cuts):
+                passage = np.concatenate([combine(words[begin:stop], n) for n in (1, 2, 3)])
+                for item, score in index.search(terms):
+                    found = (score, _overlap(index.questions[item], passage), _overlap(index.answers[item], passage), begin - int(cuts[doc]))
+                    if min(found[1:3]) >= overlap and found > best.get((doc, item), (0.0,)):
+                        best[doc, item] = found
+            for (doc, item), found in best.items():
+                yield first + doc, index.ids[item], found
+
+
 def leaks_of_indexes(docs: DataFrame, indexes: list[Index], overlap: float, id_col: str, text_col: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(indexes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
-            texts = [t.lower() if t else t for t in batch.column(1).to_pylist()]
-            for first, run in blocks(texts):
-                data = b" ".join(run).translate(_BLANK)
-                starts, words = word_hashes(data)
-                cuts = np.searchsorted(starts, np.cumsum([0] + [len(d) + 1 for d in run]))
-                for index in shared.value:
-                    best: dict[tuple[int, int], tuple] = {}
-                    for doc, begin, stop, terms in index.passages(words, cuts):
-                        passage = np.concatenate([combine(words[begin:stop], n) for n in (1, 2, 3)])
-                        for item, score in index.search(terms):
-                            found = (score, _overlap(index.questions[item], passage), _overlap(index.answers[item], passage), begin - int(cuts[doc]))
-                            if min(found[1:3]) >= overlap and found > best.get((doc, item), (0.0,)):
-                                best[doc, item] = found
-                    rows += [(ids[first + doc], index.ids[item], *found) for (doc, item), found in best.items()]
+            ids = batch.column(0).to_pylist()
+            rows = [(ids[doc], item, *found) for doc, item, found in _leaks(batch.column(1).to_pylist(), shared.value, overlap)]
             columns = list(zip(*rows)) or [()] * 6
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
@@ -258,18 +263,43 @@ def leaks_of_indexes(docs: DataFrame, indexes: list[Index], overlap: float, id_c
     return rows.mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long")
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.7, overlap: float = 0.5, block_bytes: int = 128 << 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """A row for each document and test item that it holds, with the best passage's figures."""
-    items = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
+def passes(items: DataFrame, threshold: float, block_bytes: int, item_col: str, text_col: str) -> Iterator[list[Index]]:
+    """The indexes of all test items, as many at a time as a pass holds."""
+    items = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(total / block_bytes))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-    found = None
     for lo in range(0, parts, BLOCKS_A_PASS):
         held: dict[int, list] = {}
         for r in items.withColumn("b", block).where(F.col("b").between(lo, lo + BLOCKS_A_PASS - 1)).collect():
             held.setdefault(r["b"], []).append((r["item_id"], r["text"]))
         order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
-        leaks = leaks_of_indexes(docs, [Index.build(sorted(rows, key=order), threshold) for rows in held.values()], overlap, id_col, text_col)
+        yield [Index.build(sorted(rows, key=order), threshold) for rows in held.values()]
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.7, overlap: float = 0.5, block_bytes: int = 128 << 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """A row for each document and test item that it holds, with the best passage's figures."""
+    found = None
+    for indexes in passes(items, threshold, block_bytes, item_col, item_text_col):
+        leaks = leaks_of_indexes(docs, indexes, overlap, id_col, text_col)
         found = leaks if found is None else found.unionByName(leaks)
     return found
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.7, overlap: float = 0.5, block_bytes: int = 128 << 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no test item."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index(text_col)
+    rows = docs.toDF(*names)
+    for indexes in passes(items, threshold, block_bytes, item_col, item_text_col):
+        shared = docs.sparkSession.sparkContext.broadcast(indexes)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for doc, _, _ in _leaks(batch.column(at).to_pylist(), shared.value, overlap):
+                    keep[doc] = False
+                yield batch.filter(pa.array(keep))
+
+        rows = rows.mapInArrow(run, rows.schema)
+    return rows.toDF(*docs.columns)
