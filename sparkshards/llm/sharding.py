@@ -9,7 +9,7 @@ again at a greater depth.
 
 A bucket whose rows all have the same hash can't be split by bits: its rows (copies
 of one key, or a single row) are cut into runs of at most the limit by a running
-sum in key order; a single row over the limit is a shard of its own.
+sum; a single row over the limit is a shard of its own.
 
 Everything is DataFrame functions.  Edge cases: null keys hash like the text
 "null"; null texts have 0 bytes; repeated rows each count; an empty table has no
@@ -27,6 +27,8 @@ from .common import cut
 
 #: Bits of the hash that a prefix may use.
 HASH_BITS = 60
+#: Shards of one key's copies that are cut in one task, about.
+PART_SHARDS = 256
 
 
 def key_hash(*columns: str) -> Column:
@@ -77,10 +79,16 @@ def assign(docs: DataFrame, max_bytes: int, key: tuple[str, ...] = ("doc_id",),
     placed = placed.join(leaves.select("depth", "prefix", F.col("bytes").alias("leaf_bytes"), "unsplittable"), ["depth", "prefix"])
     bits = F.when(F.col("depth") == 0, "").otherwise(F.lpad(F.bin("prefix"), F.col("depth"), F.lit("0")))
     whole = placed.where(~F.col("unsplittable")).select(*key, "hash", "bytes", F.concat(F.lit("s"), bits).alias("shard_id"), F.col("leaf_bytes").alias("shard_bytes"), "depth")
-    order = Window.partitionBy("depth", "prefix").orderBy(*key)
-    runs = placed.where("unsplittable").withColumn("run", F.floor((F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.least("bytes", F.lit(1))) / max_bytes))
-    sums = Window.partitionBy("depth", "prefix", "run")
-    cut_up = runs.select(*key, "hash", "bytes", F.concat(F.lit("s"), bits, F.lit("."), F.col("run").cast("string")).alias("shard_id"), F.sum("bytes").over(sums).alias("shard_bytes"), "depth")
+    # copies of one key: runs whose starts fall into one stretch of (limit - largest row) bytes, so that
+    # a run never exceeds the limit; very many copies are dealt to parts of about PART_SHARDS shards first
+    parts = F.greatest(F.lit(1), F.floor(F.col("leaf_bytes") / (PART_SHARDS * max_bytes)))
+    same = placed.where("unsplittable").withColumn("part", F.pmod(F.monotonically_increasing_id(), parts).cast("int"))
+    group = Window.partitionBy("depth", "prefix", "part")
+    before = F.sum("bytes").over(group.orderBy(*key).rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes")
+    largest = same.groupBy("depth", "prefix").agg(F.max("bytes").alias("largest"))
+    runs = same.join(largest, ["depth", "prefix"]).withColumn("run", F.floor(before / F.greatest(F.lit(1), F.lit(max_bytes) - F.col("largest"))))
+    sums = Window.partitionBy("depth", "prefix", "part", "run")
+    cut_up = runs.select(*key, "hash", "bytes", F.concat_ws(".", F.concat(F.lit("s"), bits), F.col("part").cast("string"), F.col("run").cast("string")).alias("shard_id"), F.sum("bytes").over(sums).alias("shard_bytes"), "depth")
     return whole.unionByName(cut_up)
 
 
