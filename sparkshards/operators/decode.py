@@ -125,9 +125,9 @@ def decode_column(data: Column, name: str, image_spec: str | None = None) -> Col
     if kind == "pickle":
         raise Unsupported(f"{name}: pickled data runs code when it is read")
     if kind == "image":
-        return image_to_tensor(image_spec)(data) if image_spec else data
+        return F.when(data.isNotNull(), image_to_tensor(image_spec)(data)) if image_spec else data
     plain: dict[str, Callable[[Column], Column]] = {
-        "text": decode_text, "integer": decode_integer, "json": decode_json, "npy": npy_to_tensor, "npz": npz_to_tensors, "tenbin": tenbin_to_tensors,
+        "text": decode_text, "integer": decode_integer, "json": decode_json, "npy": lambda c: F.when(c.isNotNull(), npy_to_tensor(c)), "npz": npz_to_tensors, "tenbin": tenbin_to_tensors,
         "msgpack": lambda c: F.parse_json(msgpack_to_json(c)), "cbor": lambda c: F.parse_json(cbor_to_json(c)),
     }
     return plain[kind](data) if kind in plain else data

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.errors import DuplicateKey, FormatError, MissingKey
 from ..functions.names import KEY, is_meta
@@ -31,29 +32,37 @@ def present(df: DataFrame, name: str) -> Column:
     return F.array_contains(FIELDS, name) if FIELDS in df.columns else quoted(name).isNotNull()
 
 
-def select(df: DataFrame, predicate: Column | str | Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
-    """Keeps rows: an expression, or a function from a frame to booleans."""
-    if not callable(predicate) or isinstance(predicate, Column):
-        return df.where(predicate)
+def _map_frames(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str | None) -> DataFrame:
+    """mapInPandas that stands dots in column names."""
+    columns = df.columns
+    plain = df.toDF(*[f"c{i}" for i in range(len(columns))])
+    out = df.schema if schema is None else T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    names = [x.name for x in out.fields]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
-            yield x[predicate(x).astype(bool)]
+            x.columns = columns
+            yield f(x)[names].set_axis([f"c{i}" for i in range(len(names))], axis=1)
+
+    made = plain.mapInPandas(run, T.StructType([T.StructField(f"c{i}", x.dataType) for i, x in enumerate(out.fields)]))
+    return made.toDF(*names)
+
 
-    return df.mapInPandas(run, df.schema)
+def select(df: DataFrame, predicate: Column | str | Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
+    """Keeps rows: an expression, or a function from a frame to booleans."""
+    if not callable(predicate) or isinstance(predicate, Column):
+        return df.where(predicate)
+    return _map_frames(df, lambda x: x[predicate(x).astype(bool)], None)
 
 
 def map_sample(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str | None = None) -> DataFrame:
     """Rows to rows, fewer if f drops some; the key comes back if f loses it."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            out = f(x)
-            if KEY in x and KEY not in out:
-                out = out.assign(**{KEY: x[KEY].reindex(out.index)})
-            yield out
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        out = f(x)
+        return out.assign(**{KEY: x[KEY].reindex(out.index)}) if KEY in x and KEY not in out else out
 
-    return df.mapInPandas(run, schema or df.schema)
+    return _map_frames(df, run, schema)
 
 
 def map_field(df: DataFrame, name: str, f: Callable[[Column], Column]) -> DataFrame:

@@ -21,7 +21,7 @@ from ..sources.shards import read_shards
 
 def watch(spark: SparkSession, folder: str, pattern: str = "*.tar*", newest_first: bool = False, files_per_batch: int | None = None, done: str = "keep", done_folder: str | None = None) -> DataFrame:
     """A streaming frame (url, arrived).  ``done``: keep (moved to done_folder if given), unlink, or resample (left where it is)."""
-    reader = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("latestFirst", str(newest_first).lower())
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("latestFirst", str(newest_first).lower())
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if done == "unlink":
