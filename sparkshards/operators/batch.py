@@ -28,7 +28,9 @@ def listed(df: DataFrame, order_by: list[str], size: int, partial: bool = True)
     """(batch_id, items): arrays of rows in order; partial=False leaves out a short last one."""
     fields = [quoted(c) for c in df.columns]
     rows = with_batch(df, order_by, size).select(BATCH, F.struct(F.col("__rn"), F.struct(*fields).alias("row")).alias("item"))
-    out = rows.groupBy(BATCH).agg(F.array_sort(F.collect_list("item")).alias("items"))
+    # by rank alone: rows may hold types without an order
+    by_rank = lambda a, b: F.when(a["__rn"] < b["__rn"], -1).otherwise(1)
+    out = rows.groupBy(BATCH).agg(F.array_sort(F.collect_list("item"), by_rank).alias("items"))
     out = out.withColumn("items", F.transform("items", lambda x: x["row"]))
     return out if partial else out.where(F.size("items") == size)
 
