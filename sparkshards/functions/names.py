@@ -10,6 +10,7 @@ import fnmatch
 import os
 import re
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -197,6 +198,24 @@ def worker_seed(base: str, worker: int = 0) -> int:
     return make_seed(seed_from_str(base), worker)
 
 
+@dataclass(frozen=True)
+class WorkerInfo:
+    rank: int = 0
+    world_size: int = 1
+    worker: int = 0
+    num_workers: int = 1
+
+
+def worker_info(env: dict[str, str] | None = None) -> WorkerInfo:
+    """Who reads, from RANK, WORLD_SIZE, WORKER and NUM_WORKERS; alone if they are unset."""
+    env = dict(os.environ) if env is None else env
+    number = lambda name, default: int(env.get(name) or default)
+    out = WorkerInfo(number("RANK", 0), number("WORLD_SIZE", 1), number("WORKER", 0), number("NUM_WORKERS", 1))
+    if not (0 <= out.rank < out.world_size and 0 <= out.worker < out.num_workers):
+        raise ValueProblem(f"impossible worker {out}")
+    return out
+
+
 def hash_key(seed: int, *parts: Column | int | str) -> Column:
     """The text key that all seeded orders and draws use: md5 of seed and parts joined by colons."""
     cols = [p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]

@@ -193,6 +193,21 @@ def tensor_to_array(t: pd.DataFrame) -> pd.Series:
     return pd.Series([None if d is None else to_array({"dtype": d, "shape": s, "data": b}).astype(float).ravel().tolist() for d, s, b in zip(t["dtype"], t["shape"], t["data"])], dtype=object)
 
 
+def reshape(tensor: Column, shape: list[int]) -> Column:
+    """The same elements in another shape; their number must not change."""
+    count = lambda dims: F.aggregate(dims, F.lit(1).cast("long"), lambda a, d: a * d)
+    new = F.array(*[F.lit(d) for d in shape]) if shape else F.array().cast("array<int>")
+    fits = count(tensor["shape"]) == count(new)
+    bad = F.raise_error(F.lit(f"tensor does not fit the shape {shape}")).cast(TENSOR)
+    return F.when(tensor.isNull(), F.lit(None).cast(TENSOR)).when(fits, F.struct(tensor["dtype"].alias("dtype"), new.alias("shape"), tensor["data"].alias("data"))).otherwise(bad)
+
+
+def widen_half(row: Mapping | T.Row) -> np.ndarray:
+    """float16 elements as float32; other types as they are."""
+    a = to_array(row)
+    return a.astype(np.float32) if a.dtype == np.float16 else a
+
+
 def stack_column(values: Column) -> Column:
     """array<tensor> to one tensor with a leading axis; unequal shapes or types are an error."""
     first, n = values[0], F.size(values)

@@ -234,6 +234,17 @@ class ShardDataset:
             placed = _batch.shard_by_size(df, by, size, max_size, max_count)
         return write_shards(placed, folder, pattern, order_by=by, **options)
 
+    def trace(self, label: str = "sample", first: int = 3, every: int | None = None) -> ShardDataset:
+        """Prints the first rows in order, or of every so many one, and goes on."""
+        shown = _order.slice_rows(self.df, self._by, 0, first, every or 1)
+        for row in shown.orderBy(*self._by).toLocalIterator():
+            print(f"{label}: {row.asDict()}")
+        return self
+
+    def info(self) -> str:
+        """The totals of raw samples as JSON."""
+        return _stats.report(self.df)
+
     def ordered(self) -> DataFrame:
         return self.df.orderBy(*self._by)
 

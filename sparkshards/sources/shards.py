@@ -26,6 +26,8 @@ from .tario import Selection, TarWriter, read_samples
 RAW = f"{SHARD_ORD} long, {POS} long, {KEY} string, {URL} string, {LOCAL_PATH} string, fields map<string,binary>, field_order array<string>"
 MEMBERS = f"{SHARD_ORD} long, member_ord long, {URL} string, {LOCAL_PATH} string, name string, data binary"
 BATCH_BYTES = 8 << 20
+#: Most tasks of a scan.
+MAX_TASKS = 50_000
 
 _RAW_ARROW = pa.schema([(SHARD_ORD, pa.int64()), (POS, pa.int64()), (KEY, pa.string()), (URL, pa.string()), (LOCAL_PATH, pa.string()), ("fields", pa.map_(pa.string(), pa.binary())), ("field_order", pa.list_(pa.string()))])
 
@@ -76,8 +78,8 @@ def read_shards(shards: DataFrame, opener: Opener | None = None, selection: Sele
             for ordinal, url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 yield from _batches(_scan(ordinal, url, opener, selection, lowercase, policy, wanted, limit))
 
-    n = max(1, shards.count())
-    # one shard a task, dealt by position, not by hash
+    n = max(1, min(shards.count(), MAX_TASKS))
+    # one shard a task (neighbours together beyond MAX_TASKS), dealt by position, not by hash
     return shards.select(SHARD_ORD, "url").repartitionByRange(n, SHARD_ORD).mapInArrow(run, RAW)
 
 

@@ -6,13 +6,14 @@ import bz2
 import gzip
 import io
 import lzma
+import os
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import BinaryIO
 
 from ..functions.errors import DuplicateKey, EncodeError, FormatError, MissingKey, OnError, ShardError
-from ..functions.names import base_plus_ext, is_shard_metadata
+from ..functions.names import base_plus_ext, format_shard_pattern, is_shard_metadata
 
 _BLOCK, _STEP = 512, 1 << 20
 #: Longest name or PAX header that is read into memory.
@@ -291,3 +292,58 @@ class TarWriter:
         self.out.write(bytes(2 * _BLOCK))
         if self.out is not self.raw:
             self.out.close()
+
+
+class ShardWriter:
+    """Writes samples of one process to numbered archives, as a context manager.
+
+    The next archive begins before a sample once the present one has max_count samples
+    or max_size payload bytes, so it may exceed the size by one sample.  An archive is
+    written beside its place and moved when it is whole; then ``post`` gets its name.
+    For datasets, ``write_shards`` does the same on the executors.
+    """
+
+    def __init__(self, pattern: str, max_count: int = 100_000, max_size: int = 3_000_000_000, start_shard: int = 0, post: Callable[[str], None] | None = None, mtime: int = 0, keep_meta: bool = False):
+        format_shard_pattern(pattern, 0)
+        self.pattern, self.max_count, self.max_size, self.post = pattern, max_count, max_size, post
+        self.mtime, self.keep_meta, self.shard = mtime, keep_meta, start_shard
+        self.writer = self.sink = None
+        self.count = self.size = self.total = 0
+
+    def __enter__(self) -> ShardWriter:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is None:
+            self.close()
+        elif self.sink:
+            self.sink.close()
+            os.unlink(self.temp)
+
+    def next_stream(self) -> None:
+        """Ends the present archive and begins another."""
+        self.close()
+        self.name = format_shard_pattern(self.pattern, self.shard)
+        self.temp = f"{self.name}.{os.getpid()}.part"
+        self.shard += 1
+        self.sink = open(self.temp, "wb")
+        self.writer = TarWriter(self.sink, self.name, self.mtime, self.keep_meta)
+        self.count = self.size = 0
+
+    def write(self, key: str | None, fields: dict[str, bytes | str | None]) -> int:
+        if self.writer is None or self.count >= self.max_count or self.size >= self.max_size:
+            self.next_stream()
+        n = self.writer.write(key, fields)
+        self.count += 1
+        self.size += n
+        self.total += 1
+        return n
+
+    def close(self) -> None:
+        if self.writer:
+            self.writer.close()
+            self.sink.close()
+            os.replace(self.temp, self.name)
+            self.writer = self.sink = None
+            if self.post:
+                self.post(self.name)

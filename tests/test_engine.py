@@ -169,6 +169,9 @@ def test_batches(spark):
     t = spark.createDataFrame([(i, [float(i)] * 3) for i in range(4)], "id long, a array<float>").select("id", tensors.array_to_tensor("a").alias("t"))
     stacked = batch.batched(t, ["id"], 4).first()["t"]
     assert stacked["shape"] == [4, 3] and tensors.to_array(stacked)[:, 0].tolist() == [0, 1, 2, 3]
+    assert tensors.to_array(t.select(tensors.reshape(F.col("t"), [3, 1]).alias("t")).first()["t"]).shape == (3, 1)
+    with pytest.raises(Exception, match="does not fit"):
+        t.select(tensors.reshape(F.col("t"), [2])).collect()
     mixed = t.unionByName(spark.createDataFrame([(9, [1.0])], "id long, a array<float>").select("id", tensors.array_to_tensor("a").alias("t")))
     with pytest.raises(Exception, match="differ in shape"):
         batch.batched(mixed, ["id"], 5).collect()
@@ -272,7 +275,10 @@ def test_stats_and_report(spark, folder):
     assert (t["samples"], t["shards"]) == (9, 3) and t["mean_bytes"] == t["payload_bytes"] // 9
     assert [(r["field"], r["samples"]) for r in stats.by_field(raw).collect()] == [("cls", 9), ("json", 9), ("npy", 4), ("txt", 9)]
     assert [r["samples"] for r in stats.by_shard(raw).collect()] == [2, 3, 4]
-    assert json.loads(stats.report(raw))["samples"] == 9
+    assert json.loads(stats.report(raw))["samples"] == json.loads(dataset(spark, folder).info())["samples"] == 9
+    dataset(spark, folder).trace("t", 2)
+    dataset(spark, folder).log_keys(f"{folder}/keys", 2)
+    assert sorted(r[0] for r in spark.read.text(f"{folder}/keys").collect()) == ["0\tk00", "1\tk01"]
 
 
 def test_fluent_stages_apply_in_order(spark, folder):

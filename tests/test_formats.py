@@ -138,6 +138,28 @@ def test_writer_and_reader_agree(name):
         tario.TarWriter(io.BytesIO()).write("k", {"a": 3})
 
 
+def test_shard_writer(tmp_path):
+    seen = []
+    with tario.ShardWriter(str(tmp_path / "s-%03d.tar"), max_count=3, max_size=25, start_shard=5, post=seen.append) as w:
+        for i in range(7):
+            w.write(f"k{i}", {"txt": "x" * (5 if i < 4 else 30)})
+    assert [p.rsplit("/", 1)[1] for p in seen] == ["s-005.tar", "s-006.tar", "s-007.tar", "s-008.tar"]
+    keys = [[s.key for s in tario.read_samples(open(p, "rb"))] for p in seen]
+    assert keys == [["k0", "k1", "k2"], ["k3", "k4"], ["k5"], ["k6"]]
+    with pytest.raises(EncodeError), tario.ShardWriter(str(tmp_path / "t-%d.tar")) as w:
+        w.write("k", {"a": 1})
+    assert sorted(p.name for p in tmp_path.iterdir()) == [f"s-{i:03d}.tar" for i in range(5, 9)]
+
+
+def test_public_names_and_workers():
+    import sparkshards
+
+    assert all(getattr(sparkshards, n) is not None for n in sparkshards.__all__)
+    assert names.worker_info({"RANK": "1", "WORLD_SIZE": "2"}) == names.WorkerInfo(1, 2)
+    with pytest.raises(ValueProblem):
+        names.worker_info({"RANK": "2", "WORLD_SIZE": "2"})
+
+
 def test_damaged_archives_raise_only_our_errors():
     rng, good = random.Random(0), archive([("a.x", b"1" * 700), ("b.y", b"2" * 10)], tarfile.PAX_FORMAT)
     for n in range(600):
