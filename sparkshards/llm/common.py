@@ -5,8 +5,9 @@ from __future__ import annotations
 import itertools
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,34 @@ def fold(column: Column, parts: int) -> Column:
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(parts)).cast("int")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that only few texts at a time become Python objects."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
+def append_by_text(docs: DataFrame, text_col: str, keep: list[str], score: Callable[[list[str | None]], list[pa.Array]], added: str) -> DataFrame:
+    """The kept columns and what ``score`` makes of the texts; a kept text column travels once.
+
+    ``added``: names and types of the new columns, as DDL.
+    """
+    names = [f"c{i}" for i in range(len(keep))]
+    columns = [F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)]
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    if at == len(keep):
+        columns.append(F.col(f"`{text_col}`").cast("string"))
+    new = [x.split()[0] for x in added.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *score(batch.column(at).to_pylist())], [*names, *new])
+
+    rows = docs.select(*columns)
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(names)]] + [added])
+    return rows.mapInArrow(run, schema).select(*[F.col(n).alias(c) for n, c in zip(names, keep)], *new)
+
+
 def free_name(taken: Iterable[str], stem: str) -> str:
     """``stem``, or with a number after it, so that it clashes with nothing."""
     low = {x.lower() for x in taken}

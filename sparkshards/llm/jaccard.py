@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slices
 from .graph import components
 from .shingles import shingle_sets
 
@@ -76,17 +76,13 @@ def survey(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNTER_BITS, np.int32)
         names = ["id", "n", "hi", "lo", "chunk", "counts"]
-        for batch in batches:
+        for batch in slices(batches):
             sizes, signs, held = [], [], []
             for grams in shingle_sets(batch.column(1).to_pylist(), width):
                 sizes.append(len(grams))
                 signs.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
                 held.append((grams & mask).astype(np.int32))
-            found = np.concatenate(held) if held else np.empty(0, np.int32)
-            if len(found) > 1 << 19:
-                counts += np.bincount(found, minlength=len(counts)).astype(np.int32)
-            else:
-                np.add.at(counts, found, 1)
+            np.add.at(counts, np.concatenate(held), 1)
             two = np.frombuffer(b"".join(signs), np.int64).reshape(-1, 2)
             none = [None] * len(sizes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names)
@@ -186,7 +182,7 @@ def prefixes(docs: DataFrame, width: int, t: Fraction, ranks: np.ndarray, mean:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, mean, repeated = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             usual, hot = [], []
             for i, grams in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), width)):
@@ -282,7 +278,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     marked = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(_id_bits_column("id").alias("b")), "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).fill_null(0).to_numpy()
             wanted = np.flatnonzero(_in_bitmap(marked.value, _id_bits(ids)) & ~batch.column(0).is_null().to_numpy(zero_copy_only=False))
             texts = batch.column(1).take(pa.array(wanted)).to_pylist()
