@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .shingles import blocks, combine, word_hashes
 
 #: Words of half a passage, at least; a passage is two neighbouring halves.
@@ -252,7 +253,7 @@ def leaks_of_indexes(docs: DataFrame, indexes: list[Index], overlap: float, id_c
     shared = docs.sparkSession.sparkContext.broadcast(indexes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).to_pylist()
             rows = [(ids[doc], item, *found) for doc, item, found in _leaks(batch.column(1).to_pylist(), shared.value, overlap)]
             columns = list(zip(*rows)) or [()] * 6
@@ -295,7 +296,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.7, ove
         shared = docs.sparkSession.sparkContext.broadcast(indexes)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 keep = np.ones(batch.num_rows, bool)
                 for doc, _, _ in _leaks(batch.column(at).to_pylist(), shared.value, overlap):
                     keep[doc] = False

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import append_by_text, slices
+
 UNKNOWN = "und"
 #: Characters handled at a time.
 BLOCK = 1 << 19
@@ -100,7 +102,7 @@ def train(docs: DataFrame, learn: Column, bits: int = 16, per_language: int = 40
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((len(langs), 1 << bits), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             label = np.array([at[x] for x in batch.column(0).to_pylist()], np.int64)
             for first, n, bucket, owner in ngram_buckets(batch.column(1).to_pylist(), bits):
                 flat = (label[first : first + n][owner] << bits) | bucket
@@ -123,7 +125,7 @@ def score_texts(texts: list[str | None], langs: list[str], matrix: np.ndarray, b
     if not langs:
         return names, scores
     for first, n, bucket, owner in ngram_buckets(texts, bits):
-        logs = np.stack([np.bincount(owner, weights=matrix[:-1, k][bucket], minlength=n) for k in range(len(langs))], axis=1)
+        logs = np.stack([np.bincount(owner, weights=matrix[:-1, k][bucket], minlength=n) for k in range(len(langs))], axis=1).astype(float)
         logs += matrix[-1]
         best = logs.argmax(axis=1)
         shifted = np.exp(logs - logs.max(axis=1, keepdims=True))
@@ -139,14 +141,8 @@ def identify(docs: DataFrame, langs: list[str], matrix: np.ndarray, bits: int =
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast((langs, np.asfortranarray(matrix)))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, matrix = shared.value
-        for batch in batches:
-            names, scores = score_texts(batch.column(0).to_pylist(), langs, matrix, bits)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(scores)], [*kept, "lang_pred", "score"])
-
-    kept = [f"c{i}" for i in range(len(keep))]
-    rows = docs.select(F.col(text_col).cast("string"), *[F.col(c).alias(k) for c, k in zip(keep, kept)])
-    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
-    out = rows.mapInArrow(score, schema + "lang_pred string, score double")
-    return out.select(*[F.col(k).alias(c) for c, k in zip(keep, kept)], "lang_pred", "score")
+    def score(texts: list[str | None]) -> list[pa.Array]:
+        names, scores = score_texts(texts, *shared.value, bits)
+        return [pa.array(names, pa.string()), pa.array(scores)]
+
+    return append_by_text(docs, text_col, keep, score, "lang_pred string, score double")

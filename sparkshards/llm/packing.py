@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions
+from .common import cut, shuffle_partitions, slices
 from .word_bpe import word_bpe
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -44,7 +44,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_bpe(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             rows: list[tuple] = []
             tokens: list[np.ndarray] = []

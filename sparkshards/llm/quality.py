@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import append_by_text, slices
 from .shingles import blocks, combine, word_hashes
 
 _GROUPS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".,;:", b"'\"()-", b"!?", b"|"]
@@ -139,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int =
     picked = F.broadcast(drawn.groupBy("__id").agg(F.max("__y").alias("__y")))  # about 2 * sample_rows ids
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = features(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], ["y", "x"])
 
@@ -155,13 +156,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str =
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = shared.value.score(features(batch.column(0).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
+    def run(texts: list[str | None]) -> list[pa.Array]:
+        scores = shared.value.score(features(texts))
+        return [pa.array(scores), pa.array((scores >= threshold).astype(np.int32))]
 
-    kept = [f"c{i}" for i in range(len(keep))]
-    rows = docs.select(F.col(text_col).cast("string"), *[F.col(c).alias(k) for c, k in zip(keep, kept)])
-    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
-    out = rows.mapInArrow(run, schema + "score double, predicted int")
-    return out.select(*[F.col(k).alias(c) for c, k in zip(keep, kept)], "score", "predicted")
+    return append_by_text(docs, text_col, keep, run, "score double, predicted int")
