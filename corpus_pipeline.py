@@ -27,12 +27,17 @@ from sparkshards.llm.common import free_name, fresh_dir, table
 MIN_SCORE = 0.3
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents under column names that clash with nothing, and the text's name."""
+    names = [f"k{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names[docs.columns.index("text")]
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the classifier gives at least MIN_SCORE."""
     model = quality.train(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    keep = free_name(docs.columns, "__text")
-    scored = quality.score(docs.withColumn(keep, F.col("text")), model, MIN_SCORE, text_col=keep, keep=docs.columns)
-    return scored.where("predicted = 1").select(*docs.columns)
+    plain, text = _plain(docs)
+    return quality.score(plain, model, MIN_SCORE, text, plain.columns).where("predicted = 1").select(*plain.columns).toDF(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +45,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     langs, matrix = langid.train(docs, F.lit(True))
     if not langs:
         return docs
-    keep = free_name(docs.columns, "__text")
-    found = langid.identify(docs.withColumn(keep, F.col("text")), langs, matrix, text_col=keep, keep=docs.columns)
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    plain, text = _plain(docs)
+    found = langid.identify(plain, langs, matrix, text_col=text, keep=plain.columns)
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*plain.columns).toDF(*docs.columns)
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
