@@ -461,3 +461,8 @@ def test_graph_components(spark):
     got = {r["u"]: r["v"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root if find(x) != x}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_texts_without_letters_alone():
+    names, scores = langid.score_texts(["--", None, "12"], ["a", "b"], np.zeros(((1 << 8) + 1, 2), np.float32), 8)
+    assert names == ["und"] * 3 and scores.tolist() == [0, 0, 0]
