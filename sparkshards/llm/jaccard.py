@@ -110,10 +110,12 @@ def frequency_ranks(surveyed: DataFrame) -> tuple[np.ndarray, float]:
             yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)])], ["chunk", "counts"])
 
     parts = surveyed.where(F.col("chunk").isNotNull()).select("chunk", "counts").repartition("chunk").sortWithinPartitions("chunk")
-    counts = np.zeros(1 << COUNTER_BITS, np.int64)
-    for row in parts.mapInArrow(add, "chunk int, counts binary").toLocalIterator():  # a fixed number of chunks
-        counts[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
-    return np.minimum(255, np.floor(8 * np.log2(counts + 1.0))).astype(np.uint8), float(counts.mean())
+    ranks, total = np.zeros(1 << COUNTER_BITS, np.uint8), 0
+    for row in parts.mapInArrow(add, "chunk int, counts binary").collect():  # a fixed number of chunks
+        counts = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
+        total += int(counts.sum())
+        ranks[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.minimum(255, np.floor(8 * np.log2(counts + 1.0)))
+    return ranks, total / len(ranks)
 
 
 def bitmap(df: DataFrame, column: str) -> np.ndarray:
@@ -136,7 +138,7 @@ def bitmap(df: DataFrame, column: str) -> np.ndarray:
 
     parts = bits.select(F.shiftright("b", low).cast("int").alias("part"), "b").repartition("part").sortWithinPartitions("part")
     out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for row in parts.mapInArrow(pack, "part int, bits binary").toLocalIterator():  # at most 256 parts of 8 kB
+    for row in parts.mapInArrow(pack, "part int, bits binary").collect():  # at most 256 parts of 8 kB
         out[row["part"] << (low - 3) : (row["part"] + 1) << (low - 3)] = np.frombuffer(row["bits"], np.uint8)
     return out
 

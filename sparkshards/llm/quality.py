@@ -106,8 +106,7 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(width), np.ones(width), np.zeros(width), float(np.log(prior / (1 - prior))))
     center, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-3
-    P, U = (((x - center) / scale).clip(-8, 8).astype(np.float64) for x in (positive, unlabelled))
-    P, U = np.c_[P, np.ones(len(P))], np.c_[U, np.ones(len(U))]
+    P, U = (np.c_[((x - center) / scale).clip(-8, 8), np.ones(len(x))].astype(np.float32) for x in (positive, unlabelled))
     rng, w = np.random.default_rng(seed), np.zeros(width + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     sigmoid = lambda z: 1 / (1 + np.exp(-z.clip(-30, 30)))
@@ -146,8 +145,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int =
 
     texts = docs.join(picked, F.col(id_col) == F.col("__id")).select(F.col("__y"), F.col(text_col).cast("string"))
     got = texts.mapInArrow(extract, "y int, x binary").orderBy("x").toArrow()
-    y = got["y"].to_numpy()
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, FEATURES)
+    y, rows_ = got["y"].to_numpy(), got["x"].combine_chunks()
+    rows_ = rows_.combine_chunks() if isinstance(rows_, pa.ChunkedArray) else rows_
+    x = np.frombuffer(rows_.buffers()[2] or b"", np.float32)[: len(y) * FEATURES].reshape(-1, FEATURES)  # equal lengths, so without gaps
     return fit_nnpu(x[y == 1], x[y == -1], prior)
 
 
