@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkshards.llm import decontaminate, jaccard, langid, packing, quality
-from sparkshards.llm.common import free_name, fresh_dir, table
+from sparkshards.llm.common import fresh_dir, table
 
 MIN_SCORE = 0.3
 
@@ -52,13 +52,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each component; of rows with one id, the first by text."""
-    found = jaccard.jaccard_components(docs, 80, 5)
-    dropped = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().where("count > 1").select("doc_id")
-    rank = free_name(docs.columns, "__rank")
-    one = left.join(repeated, "doc_id", "left_semi").withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(rank) == 1)
-    return left.join(repeated, "doc_id", "left_anti").unionByName(one.drop(rank)).select(*docs.columns)
+    found = jaccard.jaccard_components(docs, 80, 5).where(F.col("doc_id").isNotNull())
+    # one row for each id that goes or comes again; texts meet it in a single shuffle
+    marks = found.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("doc_id") != F.col("component_id")).alias("__goes"), F.count(F.lit(1)).alias("__rows")).where("__goes or __rows > 1")
+    plain, text = _plain(docs)
+    number = plain.columns[docs.columns.index("doc_id")]
+    known = plain.where(F.col(number).isNotNull()).join(marks, F.col(number) == F.col("__id"), "left").where("__goes is null or not __goes")
+    first = F.row_number().over(Window.partitionBy(number).orderBy(text))
+    kept = known.withColumn("__first", first).where("__rows is null or __first = 1").select(*plain.columns)
+    return kept.unionByName(plain.where(F.col(number).isNull())).toDF(*docs.columns)
 
 
 def leaks_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
