@@ -14,8 +14,10 @@ heaviest ones can't reach the threshold, so a passage needs one of some item's
 heaviest (essential) terms, and in some block of items its terms' block maxima must
 add up to the threshold.  Only passages for which a pivot can exist are searched.
 
-Test items are indexed in blocks of about ``block_bytes`` of text; each block is an
-index of its own, and all documents are run against BLOCKS_A_PASS of them at a time.
+Test items are indexed in blocks of about ``block_bytes`` of text; all documents are run
+against BLOCKS_A_PASS of them at a time.  Weights and the passages' width come from
+statistics of all test items, so blocks bound memory and decide nothing: document
+frequencies are counted once on the executors, and a pass takes those of its own terms.
 
 Edge cases: null and wordless texts hold nothing; wordless items match nothing; a
 document that repeats an item gives one row for it; repeated rows give a row each;
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import cut, slices
 from .shingles import blocks, combine, word_hashes
 
 #: Words of half a passage, at least; a passage is two neighbouring halves.
@@ -53,6 +55,10 @@ def words_of(data: bytes) -> np.ndarray:
     return word_hashes(data.translate(_BLANK))[1]
 
 
+def item_words(text: str | None) -> np.ndarray:
+    return words_of((text or "").lower().encode("utf-8", "surrogatepass"))
+
+
 def question_and_answer(text: str) -> tuple[str, str]:
     """The last sentence is the answer; of a single sentence the last third of its words."""
     parts = [p for p in re.split(r"(?<=[.?!])\s+", text.strip()) if p]
@@ -67,6 +73,22 @@ def _grams(text: str) -> np.ndarray:
     return np.unique(combine(words_of(text.lower().encode("utf-8", "surrogatepass")), 3))
 
 
+@dataclass
+class Statistics:
+    """Of all test items that have words: how many, their words, those of the longest, and items by term."""
+
+    items: int
+    words: int
+    longest: int
+    frequency: dict[int, int]
+
+    @classmethod
+    def of(cls, words: list[np.ndarray]) -> Statistics:
+        words = [w for w in words if len(w)]
+        frequency = Counter(t for w in words for t in np.unique(w).tolist())
+        return cls(len(words), sum(len(w) for w in words), max((len(w) for w in words), default=0), frequency)
+
+
 @dataclass
 class Index:
     """Postings of normalised BM25 impacts, with block maxima."""
@@ -80,15 +102,15 @@ class Index:
     half: int = HALF_WORDS
 
     @classmethod
-    def build(cls, items: list[tuple[int, str | None]], threshold: float) -> Index:
-        rows = [(i, t, words_of((t or "").lower().encode("utf-8", "surrogatepass"))) for i, t in items]
+    def build(cls, items: list[tuple[int, str | None]], threshold: float, statistics: Statistics | None = None) -> Index:
+        """``statistics``: those of all test items, if these are not all."""
+        rows = [(i, t, item_words(t)) for i, t in items]
         rows = [r for r in rows if len(r[2])]
         self = cls([r[0] for r in rows], threshold)
-        n = len(rows)
+        known = statistics or Statistics.of([w for _, _, w in rows])
+        n, frequency, mean = known.items, known.frequency, known.words / max(known.items, 1)
         counts = [Counter(w.tolist()) for _, _, w in rows]
-        frequency = Counter(t for c in counts for t in c)
-        mean = sum(len(w) for _, _, w in rows) / max(n, 1)
-        self.terms = np.array(sorted(frequency), np.uint64)
+        self.terms = np.array(sorted({t for c in counts for t in c}), np.uint64)
         at = {int(t): i for i, t in enumerate(self.terms)}
         entries: list[tuple[int, int, float]] = []
         essential = np.zeros(len(self.terms), bool)
@@ -112,10 +134,10 @@ class Index:
         self.first = np.searchsorted(term, np.arange(len(self.terms) + 1))
         self.item, self.impact, self.essential = item.astype(np.int64), impact.astype(np.float64), essential
         block = self.item // BLOCK_ITEMS
-        self.block_max = np.zeros((len(self.terms), n // BLOCK_ITEMS + 1), np.float32)
+        self.block_max = np.zeros((len(self.terms), len(rows) // BLOCK_ITEMS + 1), np.float32)
         np.maximum.at(self.block_max, (term, block), self.impact.astype(np.float32))
         self.block_max *= np.float32(1 + 1e-5)  # stays a bound in float32
-        self.half = max(HALF_WORDS, max((len(w) for _, _, w in rows), default=0))
+        self.half = max(HALF_WORDS, known.longest)
         self.slot_of = np.full(_SLOTS, -1, np.int32)
         self.slot_of[(self.terms & np.uint64(_SLOTS - 1)).astype(np.int64)] = np.arange(len(self.terms))
         slots = (self.terms & np.uint64(_SLOTS - 1)).astype(np.int64)
@@ -166,7 +188,7 @@ class Index:
                     if where(c) < after:
                         advance(c, max(after, item + 1) if where(c) >= item else after)
             elif where(cursors[0]) == item:
-                score = sum(float(self.impact[c[0]]) for c in cursors[: pivot + 1])
+                score = math.fsum(float(self.impact[c[0]]) for c in cursors[: pivot + 1])  # in any order of cursors
                 if score >= limit:
                     found.append((item, score))
                 for c in cursors[: pivot + 1]:
@@ -264,18 +286,39 @@ def leaks_of_indexes(docs: DataFrame, indexes: list[Index], overlap: float, id_c
     return rows.mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long")
 
 
+def survey(items: DataFrame) -> tuple[int, int, int, DataFrame]:
+    """Items with words, their words, those of the longest, and (term, n): the number of items that hold a term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            of = Statistics.of([item_words(t) for t in batch.column(0).to_pylist()])
+            terms = np.fromiter(of.frequency, np.uint64, len(of.frequency)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([None, *terms.tolist()], pa.int64()), pa.array([of.items, *of.frequency.values()], pa.int64()), pa.array([of.words] + [None] * len(terms), pa.int64()), pa.array([of.longest] + [None] * len(terms), pa.int64())], ["term", "n", "words", "longest"])
+
+    parts = cut(items.select("text").mapInArrow(run, "term long, n long, words long, longest long"))
+    n, words, longest = parts.where("term is null").agg(F.sum("n"), F.sum("words"), F.max("longest")).first()
+    return n or 0, words or 0, longest or 0, parts.where("term is not null").groupBy("term").agg(F.sum("n").alias("n"))
+
+
 def passes(items: DataFrame, threshold: float, block_bytes: int, item_col: str, text_col: str) -> Iterator[list[Index]]:
     """The indexes of all test items, as many at a time as a pass holds."""
     items = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(total / block_bytes))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    *sizes, counted = survey(items)
+    if parts > BLOCKS_A_PASS:  # one pass alone reads them once
+        counted = cut(counted)
     for lo in range(0, parts, BLOCKS_A_PASS):
         held: dict[int, list] = {}
         for r in items.withColumn("b", block).where(F.col("b").between(lo, lo + BLOCKS_A_PASS - 1)).collect():
             held.setdefault(r["b"], []).append((r["item_id"], r["text"]))
         order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
-        yield [Index.build(sorted(rows, key=order), threshold) for rows in held.values()]
+        terms = np.unique(np.concatenate([np.empty(0, np.uint64), *(item_words(t) for rows in held.values() for _, t in rows)])).view(np.int64)
+        wanted = items.sparkSession.createDataFrame(pa.table({"term": terms}))
+        got = counted.join(F.broadcast(wanted), "term", "left_semi").toArrow()
+        statistics = Statistics(*sizes, dict(zip(got["term"].to_numpy().view(np.uint64).tolist(), got["n"].to_pylist())))
+        yield [Index.build(sorted(rows, key=order), threshold, statistics) for rows in held.values()]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.7, overlap: float = 0.5, block_bytes: int = 128 << 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

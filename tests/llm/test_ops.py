@@ -201,6 +201,23 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert decontaminate.find_leaks(frame(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_index_blocks_do_not_change_the_leaks(spark):
+    rng = random.Random(19)
+    # common and rare words, items of very different lengths, copies that lack a part of the words
+    word = lambda: rng.choice(WORDS[:6]) if rng.random() < 0.5 else rng.choice(WORDS) + rng.choice(WORDS)
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, f"{text(rng.choice((6, 15, 40)))}. {text(rng.randrange(4, 12))}.") for i in range(60)] + [(59, "again"), (None, text(9)), (90, None)]
+    docs = []
+    for i in range(240):
+        part = [w for w in items[i % 60][1].split() if rng.random() > 0.2 + 0.2 * rng.random()]
+        docs.append((i, text(rng.randrange(0, 150)) + " " + " ".join(part) + " " + text(rng.randrange(0, 150))))
+    test = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda size: Counter(map(tuple, decontaminate.find_leaks(frame(spark, docs), test, 0.7, 0.2, block_bytes=size).collect()))
+    whole = rows(1 << 20)
+    assert 40 < sum(whole.values()) < 200
+    assert rows(4000) == whole and rows(600) == whole
+
+
 # -- 5 language, 7 quality -----------------------------------------------------------
 
 
