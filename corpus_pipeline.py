@@ -51,14 +51,22 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component; of rows with one id, the first by text."""
-    found = jaccard.jaccard_components(docs, 80, 5).where(F.col("doc_id").isNotNull())
-    # one row for each id that goes or comes again; texts meet it in a single shuffle
-    marks = found.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("doc_id") != F.col("component_id")).alias("__goes"), F.count(F.lit(1)).alias("__rows")).where("__goes or __rows > 1")
+    """Keeps the text with the smallest id of each component; copies under one id count as near copies, other texts under it are texts of their own."""
     plain, text = _plain(docs)
     number = plain.columns[docs.columns.index("doc_id")]
-    known = plain.where(F.col(number).isNotNull()).join(marks, F.col(number) == F.col("__id"), "left").where("__goes is null or not __goes")
-    first = F.row_number().over(Window.partitionBy(number).orderBy(text))
+    told, names = jaccard.texts_apart(plain, number, text, "__name")
+    found = jaccard.text_components(told, 80, 5, "__name", text).where("name is not null")
+    stays = F.col("component")
+    if names is not None:  # names that are no ids are larger than all or smaller: the smallest id is found again
+        found = found.join(names, "name", "left")
+        hit = found.where("nth > 1").select("component").distinct()
+        first = F.struct(F.coalesce("id", "name").alias("id"), F.coalesce("nth", F.lit(1)).alias("nth"), "name")
+        least = found.join(hit, "component", "left_semi").groupBy("component").agg(F.min(first)["name"].alias("least"))
+        found, stays = found.join(least, "component", "left"), F.coalesce("least", "component")
+    # one row for each name that goes or comes again; texts meet it in a single shuffle
+    marks = found.groupBy(F.col("name").alias("__id")).agg(F.max(F.col("name") != stays).alias("__goes"), F.count(F.lit(1)).alias("__rows")).where("__goes or __rows > 1")
+    known = told.where("__name is not null").join(marks, F.col("__name") == F.col("__id"), "left").where("__goes is null or not __goes")
+    first = F.row_number().over(Window.partitionBy("__name").orderBy(text))
     kept = known.withColumn("__first", first).where("__rows is null or __first = 1").select(*plain.columns)
     return kept.unionByName(plain.where(F.col(number).isNull())).toDF(*docs.columns)
 

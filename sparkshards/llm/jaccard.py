@@ -27,7 +27,7 @@ Steps, each over all documents:
 Edge cases: rows without words or text have 0 shingles and only themselves; rows
 with a null id are in no link, and get their set's class if other rows with the same
 set have an id, else null; rows that share an id are one document, linked by any of
-its texts; repeated rows are returned as often as they come; empty tables give none.
+its texts (different texts of an id are told apart first, and joined at the end); repeated rows are returned as often as they come; empty tables give none.
 """
 
 from __future__ import annotations
@@ -40,9 +40,10 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.order import with_rank
 from .common import cut, slices
 from .graph import components
 from .shingles import shingle_sets
@@ -397,8 +398,56 @@ def long_list_links(entries: DataFrame, sets: DataFrame, t: Fraction) -> DataFra
 # -- all -----------------------------------------------------------------------
 
 
+def texts_apart(docs: DataFrame, id_col: str, text_col: str, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with a column ``name``, which different texts never share, and (name, id, nth) of ids with several texts.
+
+    The name is the id; of an id with several texts the first by text keeps it, and the
+    others get numbers that are no id.  Without such ids there is no second frame.
+    """
+    number, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    sign = F.xxhash64(text)
+    found = docs.where(number.isNotNull()).groupBy(number.alias("__of")).agg((F.min(sign) != F.max(sign)).alias("__several")).where("__several").select("__of")
+    several = cut(found)
+    n = several.count()
+    if not n:
+        return docs.withColumn(name, number), None
+    few = F.broadcast if n < 100_000 else (lambda x: x)
+    mark = F.coalesce(F.md5(text), F.lit(""))
+    texts = docs.select(number.alias("__of"), mark.alias("__mark"), text.alias("__text")).join(few(several), "__of", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("__of").orderBy("__text"))
+    kinds = texts.groupBy("__of", "__mark").agg(F.min("__text").alias("__text")).select("__of", "__mark", nth.cast("long").alias("__nth"))
+    kinds = cut(kinds)
+    low, high = docs.agg(F.min(number), F.max(number)).first()
+    more = kinds.where("__nth > 1")
+    count = more.count()
+    base = high + 1 if high + count < (1 << 63) else low - count
+    named = with_rank(more, ["__of", "__nth"], "__rank").select("__of", "__mark", "__nth", (F.col("__rank") + F.lit(base)).alias("__new"))
+    named = cut(named.unionByName(kinds.where("__nth = 1").select("__of", "__mark", "__nth", F.col("__of").alias("__new"))))
+    few = F.broadcast if count < 100_000 else (lambda x: x)
+    told = docs.withColumn("__id", number).withColumn("__sign", mark)
+    on = (F.col("__id") == F.col("__of")) & (F.col("__sign") == F.col("__mark"))
+    told = told.join(few(named), on, "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("__new", "__id").alias(name))
+    return told, named.select(F.col("__new").alias("name"), F.col("__of").alias("id"), F.col("__nth").alias("nth"))
+
+
 def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row; a link needs ``percent`` of the union in common."""
+    told, names = texts_apart(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", "name")
+    out = text_components(told, percent, width, "name", "text")
+    if names is not None:
+        # an id is one document: what its texts belong to is one component, under its smallest id
+        whole = cut(out.join(names, "name", "left").select(F.coalesce("id", "name").alias("id"), "n", "component"))
+        merged = components(whole.where("id is not null").select(F.col("id").alias("a"), F.col("component").alias("b")))
+        labelled = whole.join(merged, whole["component"] == merged["u"], "left").select("id", "n", F.coalesce("v", "component").alias("label"))
+        least = labelled.groupBy("label").agg(F.min("id").alias("component"))
+        out = labelled.join(least, "label", "left").select("id", "n", "component")
+    else:
+        out = out.withColumnRenamed("name", "id")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def text_components(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """name, n, component of every row, for ids that each have one text."""
     t = Fraction(percent, 100)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     surveyed = survey(docs, width)
@@ -429,4 +478,4 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, id_co
     classes = groups.join(named, groups["node"] == named["u"], "left").select("hi", "lo", F.coalesce("v", "node").alias("component"))
     out = rows.where("n > 0").join(classes, ["hi", "lo"], "left").select("id", "n", "component")
     out = out.unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("component")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return out.withColumnRenamed("id", "name")

@@ -449,6 +449,17 @@ def test_components(spark, monkeypatch, tile):
     assert not wrong
 
 
+def test_texts_of_one_id_are_one_document(spark):
+    rng = random.Random(23)
+    base = [words(rng, 60) for _ in range(5)]
+    rows = [(10, base[0]), (20, base[0]), (20, base[1]), (30, base[1] + " more"), (40, base[2]), (40, None), (5, "alone"), (5, base[3]), (50, base[3]), (1 << 62, base[4]), (1 << 62, "x"), (None, base[1]), (60, base[4])]
+    want, sizes = plain_components(rows)
+    got = jaccard.jaccard_components(frame(spark, rows)).toPandas()
+    assert Counter(zip(got["doc_id"].dropna(), got["n_shingles"][got["doc_id"].notna()])) == Counter((float(i), n) for i, n in sizes if i is not None)
+    assert all(r.component_id == want[int(r.doc_id)] for r in got.itertuples() if r.doc_id == r.doc_id)
+    assert got["component_id"][got["doc_id"].isna()].tolist() == [10]
+
+
 def test_components_of_odd_rows(spark):
     rows = odd_rows(random.Random(3))
     got = {(None if r["doc_id"] is None else r["doc_id"], r["n_shingles"]): r["component_id"] for r in jaccard.jaccard_components(frame(spark, rows)).collect()}

@@ -50,6 +50,19 @@ def test_near_copies_keep_one_of_each_component(stages):
     assert texts(stages["near_copies"]) == {i: before[i] for i in set(want.values())}
 
 
+def test_different_texts_of_one_id_stay(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(4)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 5000, 60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(1, a), (7, a + " end"), (7, b), (8, c), (8, d), (8, d), (9, c + " end"), (9, e), (4, e), (3, d + " end"), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.near_copies_stage(spark, docs, SF).select("doc_id", "text").collect()
+    want = {(1, a), (7, b), (8, c), (4, e), (3, d + " end"), (None, a)}
+    assert len(kept) == len(want) and {tuple(r) for r in kept} == want
+
+
 def test_leaks_go_and_nothing_else(spark, stages):
     items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     before, after = texts(stages["near_copies"]), texts(stages["leaks"])
