@@ -10,6 +10,10 @@ at the n-grams that occur and adding them up by document.
 The training sample is bounded: at most about ``per_language`` rows of a language,
 chosen by a hash of the row.  Scoring reads every whole text.
 
+The posterior saturates on any text, so it does not tell junk.  With a ``margin``, a text
+is ``und`` too if the mean log-probability of its n-grams in the predicted language is
+lower by more than that than the mean of the rows that the language was learned from.
+
 Edge cases: a null text, or one without letters, is ``und`` with score 0; so is
 everything if there is nothing to learn from.  Null languages and null ids are
 never learned from.  Repeated rows are scored each; an empty table gives no rows.
@@ -119,30 +123,38 @@ def train(docs: DataFrame, learn: Column, bits: int = 16, per_language: int = 40
     return langs, np.vstack([np.log(matrix / matrix.sum(axis=0)), np.log(prior / prior.sum())]).astype(np.float32)
 
 
-def score_texts(texts: list[str | None], langs: list[str], matrix: np.ndarray, bits: int) -> tuple[list[str], np.ndarray]:
-    """(language, posterior of it) of each text."""
+def score_texts(texts: list[str | None], langs: list[str], matrix: np.ndarray, bits: int, margin: float | None = None) -> tuple[list[str], np.ndarray]:
+    """(language, posterior of it) of each text; with ``margin`` also ``und`` if the text fits that language badly."""
     names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
     if not langs:
         return names, scores
+    if margin is not None:  # the learning rows' mean: what smoothing added to every bucket is taken off
+        seen = np.exp(matrix[:-1].astype(float))
+        seen -= seen.min(axis=0)
+        usual = (seen * matrix[:-1]).sum(axis=0) / np.maximum(seen.sum(axis=0), 1e-300)
     for first, n, bucket, owner in ngram_buckets(texts, bits):
         logs = np.stack([np.bincount(owner, weights=matrix[:-1, k][bucket], minlength=n) for k in range(len(langs))], axis=1).astype(float)
         logs += matrix[-1]
         best = logs.argmax(axis=1)
+        known = np.unique(owner)
+        if margin is not None:
+            fit = (logs[known, best[known]] - matrix[-1][best[known]]) / np.bincount(owner, minlength=n)[known]
+            known = known[fit >= usual[best[known]] - margin]
         shifted = np.exp(logs - logs.max(axis=1, keepdims=True))
         posterior = 1 / shifted.sum(axis=1)
-        for i in np.unique(owner):
+        for i in known:
             names[first + i] = langs[best[i]]
             scores[first + i] = posterior[i]
     return names, scores
 
 
-def identify(docs: DataFrame, langs: list[str], matrix: np.ndarray, bits: int = 16, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, langs: list[str], matrix: np.ndarray, bits: int = 16, text_col: str = "text", keep: list[str] | None = None, margin: float | None = None) -> DataFrame:
     """The kept columns (those of ``docs`` but the text, unless named), lang_pred and score."""
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast((langs, np.asfortranarray(matrix)))
 
     def score(texts: list[str | None]) -> list[pa.Array]:
-        names, scores = score_texts(texts, *shared.value, bits)
+        names, scores = score_texts(texts, *shared.value, bits, margin)
         return [pa.array(names, pa.string()), pa.array(scores)]
 
     return append_by_text(docs, text_col, keep, score, "lang_pred string, score double")

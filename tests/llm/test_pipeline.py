@@ -50,6 +50,19 @@ def test_near_copies_keep_one_of_each_component(stages):
     assert texts(stages["near_copies"]) == {i: before[i] for i in set(want.values())}
 
 
+def test_junk_with_letters_has_no_language(spark, stages):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    clean = [tuple(r) for r in stages["quality"].select("doc_id", "text", "lang").collect()]
+    digits = ["12 a 99 -- 4x7 ## 0k 3 %% 77 z 1", "#!@ 93 8 q 02 -+ 1 vx zq 7 kj 3 wq"] * 3
+    letters = [" ".join("".join(rng.choice(list("qxzjkvw"), 4)) for _ in range(n)) for n in (5, 50, 500)]
+    junk = [(1_000_000 + i, t, None) for i, t in enumerate(digits + letters)]
+    docs = spark.createDataFrame(clean + junk, "doc_id long, text string, lang string")
+    kept = texts(corpus_pipeline.language_stage(spark, docs, SF))
+    assert kept == {i: t for i, t, _ in clean}
+
+
 def test_different_texts_of_one_id_stay(spark):
     import corpus_pipeline
 
