@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -50,32 +51,48 @@ def fold(column: Column, parts: int) -> Column:
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(parts)).cast("int")
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+#: Bytes and rows of an Arrow batch; texts that become Python objects at a time.
+ARROW_BYTES, ARROW_ROWS, ROWS = 4 << 20, 4096, 512
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in parts of few rows, so that only few texts at a time become Python objects."""
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the session by bytes and rows (lower settings stay).
+
+    Texts are long: Spark's own 10,000 rows or 64 MB a batch, on both sides of every worker,
+    would take a good part of an executor.  Results do not depend on it.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)):
+        held = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
+        if not held or not 0 < int(held[1]) <= most:
+            spark.conf.set(name, str(most))
+
+
 def append_by_text(docs: DataFrame, text_col: str, keep: list[str], score: Callable[[list[str | None]], list[pa.Array]], added: str) -> DataFrame:
-    """The kept columns and what ``score`` makes of the texts; a kept text column travels once.
+    """The kept columns and what ``score`` makes of the texts.
 
+    Only texts go to Python and only the new columns come back; all else stays where it is.
     ``added``: names and types of the new columns, as DDL.
     """
-    names = [f"c{i}" for i in range(len(keep))]
-    columns = [F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)]
-    at = keep.index(text_col) if text_col in keep else len(keep)
-    if at == len(keep):
-        columns.append(F.col(f"`{text_col}`").cast("string"))
+    small_batches(docs.sparkSession)
     new = [x.split()[0] for x in added.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *score(batch.column(at).to_pylist())], [*names, *new])
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in columns:
+            parts = [pa.StructArray.from_arrays(score(texts.slice(lo, ROWS).to_pylist()), new) for lo in range(0, len(texts), ROWS)]
+            yield pa.concat_arrays(parts) if parts else pa.StructArray.from_arrays(score([]), new)
 
-    rows = docs.select(*columns)
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(names)]] + [added])
-    return rows.mapInArrow(run, schema).select(*[F.col(n).alias(c) for n, c in zip(names, keep)], *new)
+    # as if not deterministic: else a filter over a new column would be pushed through, and the texts scored twice
+    scored = F.arrow_udf(run, "struct<" + ", ".join(f"{n}: {t}" for n, t in (x.split() for x in added.split(", "))) + ">").asNondeterministic()
+    columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
+    rows = docs.select(*columns, scored(F.col(f"`{text_col}`").cast("string")).alias("new"))
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *[F.col("new")[n].alias(n) for n in new])
 
 
 def free_name(taken: Iterable[str], stem: str) -> str:

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.order import with_rank
-from .common import cut, slices
+from .common import cut, slices, small_batches
 from .graph import components
 from .shingles import shingle_sets
 
@@ -449,6 +449,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, id_co
 def text_components(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
     """name, n, component of every row, for ids that each have one text."""
     t = Fraction(percent, 100)
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     surveyed = survey(docs, width)
     ranks, mean = frequency_ranks(surveyed)
@@ -466,7 +467,7 @@ def text_components(docs: DataFrame, percent: int, width: int, id_col: str, text
     listed = cut(nodes.select("id", "n", "l", "usual", "hot"))
     entries = listed.select(F.explode("usual").alias("token"), "id", "n", "l")
     formed = cut(lists_to_pairs(entries, t))
-    pairs = cut(formed.where("need is not null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need")).where("c >= need").select("x", "y"))
+    pairs = cut(formed.where("need is not null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.min("need").alias("need")).where("c >= need").select("x", "y"))
     long = formed.where("need is null").select(F.col("x").alias("token"), F.col("y").alias("id")).unionByName(listed.select(F.explode("hot").alias("token"), "id"))
     long = cut(long.distinct())
     ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).unionByName(long.select("id")).distinct()

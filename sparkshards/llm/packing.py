@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, slices
+from .common import cut, shuffle_partitions, slices, small_batches
 from .word_bpe import word_bpe
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -62,6 +62,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
                 arrays, names = [*arrays, pa.array(tokens, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, _PIECES + ", ids array<int>" * with_ids)
 
 

@@ -12,9 +12,9 @@ the share of label 1 among the labelled rows (those with label 0 serve nothing
 else).  Where the part that must not be negative falls below zero, its gradient
 step is reversed, as the published estimator prescribes.
 
-Fitting uses bounded samples, ``sample_rows`` of each kind at most (about; chosen
-by a hash of the row), so what the driver holds doesn't grow with the input.
-Scoring reads every whole text.
+Fitting uses bounded samples, ``sample_rows`` of each kind at most (those with the
+smallest hash of the row; copies of a row count once), so what the driver holds doesn't
+grow with the input.  Scoring reads every whole text, a long one in slices.
 
 Edge cases: null texts count as empty; empty texts are scored like any other;
 without positives or unlabelled rows the model is constant at the prior.  Ids with
@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_by_text, slices
-from .shingles import blocks, combine, word_hashes
+from .common import append_by_text, cut, slices, small_batches
+from .shingles import BLOCK_BYTES, blocks, combine, word_hashes
 
 _GROUPS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".,;:", b"'\"()-", b"!?", b"|"]
 _OTHER, _HIGH = len(_GROUPS), len(_GROUPS) + 1
@@ -42,7 +42,7 @@ FEATURES = _CLASSES + _CLASSES * _CLASSES + _EXTRA
 
 
 def _class_table() -> np.ndarray:
-    table = np.full(256, _OTHER, np.int64)
+    table = np.full(256, _OTHER, np.int32)
     for i, group in enumerate(_GROUPS):
         table[list(group)] = i
     table[128:] = _HIGH
@@ -56,21 +56,41 @@ def _distinct(x: np.ndarray) -> float:
     return len(np.unique(x)) / len(x) if len(x) else 1.0
 
 
+def _class_counts(data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of each class, and pairs of neighbours, of texts that each have a line end after them."""
+    n = len(sizes)
+    ends = np.cumsum(sizes + 1)
+    kind = _TABLE[np.frombuffer(data, np.uint8)]
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes + 1)
+    inside = np.ones(len(kind), bool)
+    inside[ends - 1] = False
+    single = np.bincount((owner * _CLASSES + kind)[inside], minlength=n * _CLASSES).reshape(n, -1)
+    pair = (owner[:-1] * _CLASSES + kind[:-1]) * _CLASSES + kind[1:]
+    double = np.bincount(pair[inside[:-1] & inside[1:]], minlength=n * _CLASSES * _CLASSES).reshape(n, -1)
+    return single, double
+
+
+def _class_counts_of_long(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The same of one text, in slices that overlap by a byte."""
+    single, double = np.zeros((1, _CLASSES), np.int64), np.zeros((1, _CLASSES * _CLASSES), np.int64)
+    for lo in range(0, len(data), BLOCK_BYTES):
+        part = data[lo : lo + BLOCK_BYTES + 1]
+        one, two = _class_counts(part + b"\n", np.array([len(part)]))
+        single += one
+        double += two
+        if len(part) > BLOCK_BYTES:  # the next slice counts this byte
+            single[0, _TABLE[part[-1]]] -= 1
+    return single, double
+
+
 def features(texts: list[str | None]) -> np.ndarray:
     """float32 rows of FEATURES numbers."""
     out = np.zeros((len(texts), FEATURES), np.float32)
     for first, run in blocks(texts):
         n, data = len(run), b"\n".join(run) + b"\n"
         sizes = np.array([len(d) for d in run])
-        ends = np.cumsum(sizes + 1)
-        begins = ends - sizes - 1
-        kind = _TABLE[np.frombuffer(data, np.uint8)]
-        owner = np.repeat(np.arange(n), sizes + 1)
-        inside = np.ones(len(kind), bool)
-        inside[ends - 1] = False
-        single = np.bincount((owner * _CLASSES + kind)[inside], minlength=n * _CLASSES).reshape(n, -1)
-        pair = owner[:-1] * _CLASSES * _CLASSES + kind[:-1] * _CLASSES + kind[1:]
-        double = np.bincount(pair[inside[:-1] & inside[1:]], minlength=n * _CLASSES * _CLASSES).reshape(n, -1)
+        begins = np.cumsum(sizes + 1) - sizes - 1
+        single, double = _class_counts(data, sizes) if len(data) <= 2 * BLOCK_BYTES else _class_counts_of_long(run[0])
         rows = out[first : first + n]
         rows[:, :_CLASSES] = np.sqrt(single / np.maximum(sizes, 1)[:, None])
         rows[:, _CLASSES:-_EXTRA] = np.sqrt(double / np.maximum(sizes, 1)[:, None])
@@ -97,7 +117,19 @@ class Model:
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         z = ((rows - self.center) / self.scale).clip(-8, 8) @ self.weights + self.bias
-        return 1 / (1 + np.exp(-z.clip(-30, 30)))
+        return _sigmoid(z)
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-z.clip(-30, 30)))
+
+
+def risk_step(w: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The part of the risk that must not be negative, and the gradient to follow: reversed where it is."""
+    zp, zu = positive @ w, unlabelled @ w
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    grad = (_sigmoid(zu) @ unlabelled) / len(zu) - prior * (_sigmoid(zp) @ positive) / len(zp)
+    return float(negative), grad - prior * (_sigmoid(-zp) @ positive) / len(zp) if negative >= 0 else -grad
 
 
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 6000, batch: int = 512, rate: float = 0.05, seed: int = 0) -> Model:
@@ -109,16 +141,8 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     P, U = (np.c_[((x - center) / scale).clip(-8, 8), np.ones(len(x))].astype(np.float32) for x in (positive, unlabelled))
     rng, w = np.random.default_rng(seed), np.zeros(width + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
-    sigmoid = lambda z: 1 / (1 + np.exp(-z.clip(-30, 30)))
     for t in range(1, steps + 1):
-        p, u = P[rng.integers(0, len(P), batch)], U[rng.integers(0, len(U), batch)]
-        zp, zu = p @ w, u @ w
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        grad = (sigmoid(zu) @ u) / batch - prior * (sigmoid(zp) @ p) / batch
-        if negative >= 0:
-            grad -= prior * (sigmoid(-zp) @ p) / batch
-        else:
-            grad = -grad
+        _, grad = risk_step(w, P[rng.integers(0, len(P), batch)], U[rng.integers(0, len(U), batch)], prior)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= rate * (1 - t / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return Model(center.astype(np.float64), scale.astype(np.float64), w[:-1], float(w[-1]))
@@ -129,25 +153,35 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int =
     marks = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where(F.col("__id").isNotNull() & F.col("__y").isNotNull())
     marks = marks.groupBy("__id").agg(F.max("__y").alias("__y"))
     rows = docs.where(learn & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.xxhash64(id_col, text_col).alias("__h"))
-    # ids and labels only; texts are joined after the draw
-    kinds = rows.join(marks, "__id", "left").select("__id", "__h", F.coalesce("__y", F.lit(-1)).alias("__y"))
+    # ids, hashes and labels only, repeated rows once; texts are joined after the draw
+    kinds = cut(rows.distinct().join(marks, "__id", "left").select("__id", "__h", F.coalesce("__y", F.lit(-1)).alias("__y")))
     sizes = {r[0]: r[1] for r in kinds.groupBy("__y").count().collect()}
     good, bad, free = (sizes.get(k, 0) for k in (1, 0, -1))
     prior = float(np.clip(good / (good + bad), 0.05, 0.95)) if good + bad else 0.5
-    share = F.when(F.col("__y") == 1, min(1.0, sample_rows / max(good, 1))).otherwise(min(1.0, sample_rows / max(free, 1)))
-    drawn = kinds.where(F.col("__y") != 0).where(F.pmod("__h", F.lit(1 << 30)) < share * (1 << 30))
-    picked = F.broadcast(drawn.groupBy("__id").agg(F.max("__y").alias("__y")))  # about 2 * sample_rows ids
+    picked = None
+    for y, n in ((1, good), (-1, free)):
+        # a share of the hashes first, a little more than wanted, so that few rows are sorted
+        share = min(1.0, (sample_rows + 4 * sample_rows**0.5) / max(n, 1))
+        drawn = kinds.where((F.col("__y") == y) & (F.pmod("__h", F.lit(1 << 30)) < share * (1 << 30)))
+        drawn = drawn.orderBy(F.pmod("__h", F.lit(1 << 30)), "__id", "__h").limit(sample_rows)
+        picked = drawn if picked is None else picked.unionByName(drawn)
+    picked = F.broadcast(picked)  # at most 2 * sample_rows ids and hashes
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = features(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], ["y", "x"])
 
-    texts = docs.join(picked, F.col(id_col) == F.col("__id")).select(F.col("__y"), F.col(text_col).cast("string"))
-    got = texts.mapInArrow(extract, "y int, x binary").orderBy("x").toArrow()
-    y, rows_ = got["y"].to_numpy(), got["x"].combine_chunks()
-    rows_ = rows_.combine_chunks() if isinstance(rows_, pa.ChunkedArray) else rows_
-    x = np.frombuffer(rows_.buffers()[2] or b"", np.float32)[: len(y) * FEATURES].reshape(-1, FEATURES)  # equal lengths, so without gaps
+    small_batches(docs.sparkSession)
+    held = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.xxhash64(id_col, text_col).alias("__h"), F.col(text_col).cast("string").alias("__text"))
+    # copies of a drawn row meet in the task's own aggregate before they move
+    texts = held.join(picked, ["__id", "__h"]).groupBy("__id", "__h").agg(F.first("__y").alias("__y"), F.first("__text").alias("__text"))
+    got = texts.select("__y", "__text").mapInArrow(extract, "y int, x binary").toArrow()
+    y, rows_ = got["y"].to_numpy(), got["x"].to_pylist()
+    order = sorted(range(len(y)), key=lambda i: (y[i], rows_[i]))  # the same in every run
+    x = np.frombuffer(b"".join(rows_[i] for i in order), np.float32).reshape(-1, FEATURES)
+    y = y[order]
+    del got, rows_
     return fit_nnpu(x[y == 1], x[y == -1], prior)
 
 

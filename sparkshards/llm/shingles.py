@@ -6,6 +6,9 @@ has one shingle, its whole word sequence.  Shingles are 64-bit hashes: a
 position-independent polynomial over table-mapped bytes for words, a mixed
 linear combination of word hashes for shingles.
 
+A text longer than a block is hashed in slices, a word that crosses them as a whole, so
+that what is held besides the text are its words' hashes.
+
 Edge cases: null or blank text has no shingle; repeated shingles count once.
 """
 
@@ -18,8 +21,8 @@ import numpy as np
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: Bytes hashed at a time; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 20
+#: Bytes hashed at a time.
+BLOCK_BYTES = 1 << 18
 
 _table: np.ndarray | None = None
 _powers: tuple[np.ndarray, np.ndarray] | None = None
@@ -44,33 +47,51 @@ def _byte_table() -> np.ndarray:
     return _table
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _power_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for a slice."""
     global _powers
-    if _powers is None or len(_powers[0]) < n:
-        if n <= BLOCK_BYTES + 64:
-            n = BLOCK_BYTES + 64
-        up, down = np.full(n, _P, np.uint64), np.full(n, _P_INV, np.uint64)
+    if _powers is None:
+        up, down = np.full(BLOCK_BYTES + 1, _P, np.uint64), np.full(BLOCK_BYTES + 1, _P_INV, np.uint64)
         up[0] = down[0] = 1
-        made = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if n > BLOCK_BYTES + 64:
-            return made  # for one very long text only
-        _powers = made
+        _powers = np.multiply.accumulate(up), np.multiply.accumulate(down)
     return _powers
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(start byte of each word, its 64-bit hash) of UTF-8 bytes."""
-    a = np.frombuffer(data, np.uint8)
+def _word_parts(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, polynomial) of each run of word bytes of a slice."""
     word = np.empty(len(a) + 2, bool)
     word[0] = word[-1] = False
     word[1:-1] = ~((a == 32) | ((a >= 9) & (a <= 13)))
     edges = np.flatnonzero(word[1:] != word[:-1])
     starts, ends = edges[::2], edges[1::2]
-    up, down = _power_tables(len(a) + 1)
+    up, down = _power_tables()
     sums = np.empty(len(a) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_byte_table()[a] * down[: len(a)], out=sums[1:])
-    return starts, mix64((sums[ends] - sums[starts]) * up[starts] + (ends - starts).astype(np.uint64))
+    return starts, ends - starts, (sums[ends] - sums[starts]) * up[starts]
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of neighbouring slices; one word where a slice's last part and the next one's first touch."""
+    starts, lengths, sums = (np.concatenate(x) for x in zip(*parts))
+    touching = np.flatnonzero((starts[1:] == starts[:-1] + lengths[:-1]) & (starts[1:] % size == 0)) + 1
+    for i in touching[::-1].tolist():  # one a slice at most
+        sums[i - 1] = (int(sums[i - 1]) + int(sums[i]) * pow(int(_P_INV), int(lengths[i - 1]), 1 << 64)) % (1 << 64)
+        lengths[i - 1] += lengths[i]
+    keep = np.ones(len(starts), bool)
+    keep[touching] = False
+    return starts[keep], lengths[keep], sums[keep]
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start byte of each word, its 64-bit hash) of UTF-8 bytes."""
+    a = np.frombuffer(data, np.uint8)
+    if len(a) <= BLOCK_BYTES:
+        starts, lengths, sums = _word_parts(a)
+    else:
+        parts = [(s + lo, n, h) for lo in range(0, len(a), BLOCK_BYTES) for s, n, h in [_word_parts(a[lo : lo + BLOCK_BYTES])]]
+        starts, lengths, sums = _joined(parts, BLOCK_BYTES)
+    return starts, mix64(sums + lengths.astype(np.uint64))
 
 
 def combine(words: np.ndarray, width: int) -> np.ndarray:

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 RULES = ("majority", "first", "last", "split")
 
 
@@ -135,5 +137,6 @@ def count_tokens(docs: DataFrame, rank_file: str, pattern: str, rule: str = "maj
             section, begin, end, tokens = (np.concatenate(p) if p else np.empty(0) for p in held[:4])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(section.astype(np.int32)), pa.array(names, pa.string()), pa.array(begin.astype(np.int64)), pa.array(end.astype(np.int64)), pa.array(tokens.astype(float))], schema=schema)
 
+    small_batches(docs.sparkSession)
     columns = [F.col(id_col).cast("long"), F.col(text_col).cast("string"), *([F.col(sections_col)] if sections_col else [])]
     return docs.select(*columns).mapInArrow(run, "doc_id long, section int, name string, char_start long, char_end long, tokens double")
