@@ -12,8 +12,9 @@ Equal payloads of at least ``min_bytes`` are stored once: by the response with t
 smallest id; the others are revisit records that refer to it.
 
 Edge cases: null payloads are empty; rows with a null id are kept, never referred to
-unless all their copies have a null id, in which case all are responses; repeated
-rows with the smallest id are all responses; an empty table makes no archive.
+unless all their copies have a null id, in which case all are responses; of repeated
+rows with the smallest id one (of the first uri) is the response, and the others revisit
+that id; an empty table makes no archive.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_dir
+from .common import cut, fresh_dir, small_batches
 
 _MAGIC_DICT, _MAGIC_FRAME = 0x184D2A5D, 0xFD2FB528
 _ID = "urn:row:"
@@ -39,6 +40,8 @@ _DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Sample that a dictionary is trained on, and its size.
 SAMPLE_BYTES, DICT_BYTES = 1 << 20, 16 << 10
+#: Digests of copies up to this number are sent to all executors, more are joined by a shuffle.
+BROADCAST_ROWS = 50_000
 
 
 class WarcError(ValueError):
@@ -53,8 +56,10 @@ def _one_line(text: str | None) -> str:
     return re.sub(r"[\r\n]+", " ", text or "")
 
 
-def build_record(row_id: int | None, uri: str | None, payload: bytes, sha1: str, refers_to: int | None) -> bytes:
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def build_record(row_id: int | None, uri: str | None, payload: bytes | None, sha1: str, refers_to: int | None, size: int | None = None) -> bytes:
+    """A response with its payload, or a revisit, which needs only its ``size`` and digest."""
+    size = len(payload) if size is None else size
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = [
         "WARC/1.1",
@@ -206,11 +211,36 @@ def _files(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def mark_copies(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """row_id, uri, payload, sha1 and refers_to (null for responses) of each row."""
+    """A row for each record: row_id, uri, payload, size, sha1 and refers_to (null for responses).
+
+    Copies are decided on digests, ids and uris alone.  Payloads stay where they are read,
+    unless more rows than BROADCAST_ROWS are copies; then responses' payloads are dealt by row.
+    Revisits are made from digests, so no payload of theirs moves.
+    """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("row_id"), F.col(url_col).cast("string").alias("uri"), payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
-    slim = rows.where(F.octet_length("payload") >= min_bytes).groupBy("sha1").agg(F.min("row_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha1", "first")
-    return rows.join(slim, "sha1", "left").select("row_id", "uri", "payload", "sha1", F.when(F.octet_length("payload") >= min_bytes, F.when(F.col("row_id").isNull() | (F.col("row_id") != F.col("first")), F.col("first"))).alias("refers_to"))
+    rows = pages.select(F.col(id_col).cast("long").alias("row_id"), F.col(url_col).cast("string").alias("uri"), payload.alias("payload"))
+    rows = rows.withColumns({"sha1": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
+    key = ["sha1", "row_id", "uri"]
+    slim = rows.where(F.col("size") >= min_bytes).groupBy("size", *key).agg(F.count(F.lit(1)).alias("n"))
+    # the first row of each payload by (id, uri), ids that are null last; a row that comes n times is n records
+    order = F.struct(F.col("row_id").isNull().alias("none"), "row_id", F.col("uri").isNotNull().alias("some"), "uri")
+    firsts = slim.groupBy("sha1").agg(F.min(order).alias("f"), F.sum("n").alias("total")).where("total > 1 and not f.none")
+    copies = slim.join(firsts.select("sha1", F.col("f.row_id").alias("first"), F.col("f.uri").alias("first_uri")), "sha1")
+    is_first = F.col("row_id").eqNullSafe(F.col("first")) & F.col("uri").eqNullSafe(F.col("first_uri"))
+    copies = cut(copies.select("size", *key, "first", is_first.alias("is_first"), "n").where("not is_first or n > 1"))
+    revisits = copies.withColumn("n", F.when(F.col("is_first"), F.col("n") - 1).otherwise(F.col("n")))
+    revisits = revisits.select("row_id", "uri", F.lit(None).cast("binary").alias("payload"), "size", "sha1", F.col("first").alias("refers_to"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth")).drop("nth")
+    few = F.broadcast if copies.count() <= BROADCAST_ROWS else (lambda x: x)
+    known = few(copies.select(*[F.col(c).alias(f"k_{c}") for c in key], "is_first"))
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"k_{c}"))
+    marked = rows.join(known, same, "left")
+    columns = ["row_id", "uri", "payload", "size", "sha1", F.lit(None).cast("long").alias("refers_to")]
+    out = marked.where("is_first is null").select(*columns).unionByName(revisits)
+    if not copies.where("is_first").isEmpty():  # the first row itself is repeated: one of these is the response
+        out = out.unionByName(marked.where("is_first").groupBy("size", *key).agg(F.first("payload").alias("payload")).select(*columns))
+    return out
 
 
 def write_archives(rows: DataFrame, folder: str, max_bytes: int = 64 << 20) -> DataFrame:
@@ -236,19 +266,20 @@ def write_archives(rows: DataFrame, folder: str, max_bytes: int = 64 << 20) -> D
                 writer = sink = None
 
         for batch in batches:
-            for row_id, uri, payload, sha1, refers in zip(*(c.to_pylist() for c in batch.columns)):
+            for row_id, uri, payload, size, sha1, refers in zip(*(c.to_pylist() for c in batch.columns)):
                 if writer is None:
                     temp = f"{root}/.attempt-{context.taskAttemptId()}-{len(done)}"
                     sink = files.open_output_stream(temp, compression=None)
                     writer = ArchiveWriter(sink)
-                writer.add(build_record(row_id, uri, payload, base64.b32encode(bytes.fromhex(sha1)).decode(), refers))
+                writer.add(build_record(row_id, uri, payload, base64.b32encode(bytes.fromhex(sha1)).decode(), refers, size))
                 if writer.written >= max_bytes:
                     close()
         close()
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], ["path", "records", "bytes"])
 
-    return cut(rows.select("row_id", "uri", "payload", "sha1", "refers_to").mapInArrow(write, "path string, records long, bytes long"))
+    small_batches(rows.sparkSession)
+    return cut(rows.select("row_id", "uri", "payload", "size", "sha1", "refers_to").mapInArrow(write, "path string, records long, bytes long"))
 
 
 def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
