@@ -18,16 +18,19 @@ allowed; other columns are kept only if named.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LABEL = "=block"
-#: Rules up to this number are sent to all executors, more are joined by a shuffle.
-BROADCAST_RULES = 50_000
+#: Rules up to this number and size are sent to all executors, more are joined by a shuffle.
+BROADCAST_RULES, BROADCAST_BYTES = 50_000, 8 << 20
 
 
 def _after_scheme(url: Column) -> Column:
@@ -70,29 +73,51 @@ def url_tokens(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(tagged("h:", F.split(host_of(url), r"\.")), tagged("p:", F.split(path_of(url), "/")), tagged("q:", keys))))
 
 
+def merge_tokens(labelled: DataFrame, min_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(items, block) of each row, and (item, tokens, freq): tokens that always come together are one item.
+
+    Tokens in the same rows have the same support in every combination, so one of them
+    (the first) stands for all, and a long path that many urls share is not enumerated by
+    its subsets.  Tokens in fewer than ``min_rows`` rows can be in no rule and are left out.
+    """
+    rows = labelled.select(url_tokens(F.col("url")).alias("tokens"), "block", F.xxhash64("url", "block").alias("h"))
+    # equal rows: same number and same sums of two hashes of the rows that hold them
+    seen = rows.select(F.explode("tokens").alias("token"), "h").groupBy("token").agg(F.count(F.lit(1)).alias("freq"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("s2"))
+    groups = seen.where(F.col("freq") >= min_rows).groupBy("freq", "s", "s2").agg(F.array_sort(F.collect_list("token")).alias("tokens"))  # tokens of one url
+    items = cut(groups.select(F.col("tokens")[0].alias("item"), "tokens", "freq"))
+    firsts = items.select(F.col("item").alias("token"))
+    rows = rows.select("block", "tokens", F.xxhash64("tokens", "block").alias("k")).groupBy("k", "block", "tokens").agg(F.count(F.lit(1)).alias("n"))
+    held = rows.select("k", F.explode("tokens").alias("token")).join(firsts, "token").groupBy("k").agg(F.array_sort(F.collect_list("token")).alias("items"))
+    out = rows.join(held, "k", "left").select(F.coalesce("items", F.array().cast("array<string>")).alias("items"), "block", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("nth")).drop("nth")
+    return out, items
+
+
 def mine_rules(labelled: DataFrame, min_support: float = 0.001, min_confidence: float = 0.7, min_rows: int = 20) -> DataFrame:
     """(key token, tokens, confidence, support) of the rules that conclude a block.
 
     ``labelled``: url and block (boolean).  A combination must occur in ``min_support``
     of the labelled rows and in ``min_rows`` of them at least.
     """
-    items = labelled.where(F.col("block").isNotNull()).select(
-        F.when(F.col("block"), F.array_append(url_tokens(F.col("url")), LABEL)).otherwise(url_tokens(F.col("url"))).alias("items")
-    )
-    n = items.count()
+    known = labelled.where(F.col("block").isNotNull() & F.col("url").isNotNull()).select("url", "block")
+    n = known.count()
+    none = labelled.sparkSession.createDataFrame([], "token string, tokens array<string>, confidence double, support double")
     if n == 0:
-        return labelled.sparkSession.createDataFrame([], "token string, tokens array<string>, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_rows / n)), minConfidence=min_confidence).fit(items)
-    seen = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
+        return none
+    least = max(min_rows, math.ceil(min_support * n))
+    rows, items = merge_tokens(known, least)
+    baskets = cut(rows.select(F.when(F.col("block"), F.array_append("items", LABEL)).otherwise(F.col("items")).alias("items")))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n), minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == LABEL))
-    found = found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").withColumn("rule_id", F.md5(F.array_join("tokens", "\n")))
-    # a rule is dropped if one with fewer tokens, all among its own, is as confident
-    shorter = found.select(F.explode("tokens").alias("token"), F.col("tokens").alias("less"), F.col("confidence").alias("c"))
-    longer = found.select(F.explode("tokens").alias("token"), "rule_id", "tokens", "confidence")
-    covered = longer.join(shorter, "token").where((F.size("less") < F.size("tokens")) & (F.col("c") >= F.col("confidence")) & (F.size(F.array_except("less", "tokens")) == 0)).select("rule_id").distinct()
-    kept = found.join(covered, "rule_id", "left_anti")
-    keyed = kept.select("*", F.explode("tokens").alias("token")).join(seen, "token")
-    return keyed.groupBy("rule_id").agg(F.min(F.struct("freq", "token"))["token"].alias("token"), F.first("tokens").alias("tokens"), F.first("confidence").alias("confidence"), F.first("support").alias("support")).drop("rule_id")
+    found = cut(found.select(F.array_sort("antecedent").alias("items"), "confidence", "support").withColumn("rule_id", F.md5(F.array_join("items", "\n"))))
+    # a rule stands under its rarest item; another rule or a url that holds all its items holds that one
+    each = found.select("rule_id", F.explode("items").alias("item")).join(items, "item")
+    keys = each.groupBy("rule_id").agg(F.min(F.struct("freq", "item"))["item"].alias("item"), F.array_sort(F.flatten(F.collect_list("tokens"))).alias("tokens"))
+    keyed = found.join(keys, "rule_id")
+    # a rule is dropped if one with fewer items, all among its own, is as confident
+    shorter = keyed.select("item", F.col("items").alias("less"), F.col("confidence").alias("c"))
+    longer = found.select(F.explode("items").alias("item"), "rule_id", "items", "confidence")
+    covered = longer.join(shorter, "item").where((F.size("less") < F.size("items")) & (F.col("c") >= F.col("confidence")) & (F.size(F.array_except("less", "items")) == 0)).select("rule_id").distinct()
+    return cut(keyed.join(covered, "rule_id", "left_anti").select(F.col("item").alias("token"), "tokens", "confidence", "support"))
 
 
 def match_mined(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -104,13 +129,24 @@ def match_mined(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return met.groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
+def rule_labels(urls: DataFrame, rules: list[tuple[str, str]], url_col: str = "url") -> DataFrame:
+    """(url, block) of the urls that an explicit rule judges: labels to mine from."""
+    rows = urls.select(F.col(url_col).cast("string").alias("url"))
+    fit = match_rules(host_of(F.col("url")), path_of(F.col("url")), rules)
+    return rows.select("url", (fit["verdict"] == "block").alias("block")).where("block is not null")
+
+
 def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", min_support: float = 0.001, min_confidence: float = 0.7, min_rows: int = 20) -> DataFrame:
     """id, url, host, path, rule, verdict and, where mined rules blocked, their confidence."""
     rows = pages.select(F.col(id_col).alias(id_col), F.col(url_col).cast("string").alias("url"))
     rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).withColumn("fit", match_rules(F.col("host"), F.col("path"), rules))
     mined = mine_rules(labelled, min_support, min_confidence, min_rows)
-    if mined.count() <= BROADCAST_RULES:
+    size = mined.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.array_join("tokens", ","))).alias("b")).first()
+    if size["n"] <= BROADCAST_RULES and (size["b"] or 0) <= BROADCAST_BYTES:
         mined = F.broadcast(mined)
-    blocked = match_mined(rows, mined)
-    out = rows.join(blocked, "url", "left")
-    return out.select(id_col, "url", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")).alias("verdict"), F.when(F.col("fit").isNull(), F.col("confidence")).alias("confidence"))
+    # only urls that no explicit rule judges meet the mined ones
+    left = F.col("url").isNotNull() & F.col("fit").isNull()
+    blocked = match_mined(rows.where(left), mined)
+    none = F.lit(None).cast("double")
+    out = rows.where(left).join(blocked, "url", "left").select(*rows.columns, "confidence").unionByName(rows.where(~left).withColumn("confidence", none))
+    return out.select(id_col, "url", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")).alias("verdict"), "confidence")
