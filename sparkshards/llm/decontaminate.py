@@ -12,7 +12,8 @@ WAND's bounds are tested for all passages of a batch at once before any cursor
 moves: an item whose terms in the passage have too little weight without its
 heaviest ones can't reach the threshold, so a passage needs one of some item's
 heaviest (essential) terms, and in some block of items its terms' block maxima must
-add up to the threshold.  Only passages for which a pivot can exist are searched.
+add up to the threshold.  Those are the pivot blocks; only their items are scored, for
+many passages at once, and cursors move in passages that have an item at the threshold.
 
 Test items are indexed in blocks of about ``block_bytes`` of text; all documents are run
 against BLOCKS_A_PASS of them at a time.  Weights and the passages' width come from
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import append_by_text, cut, slices, small_batches
 from .shingles import blocks, combine, word_hashes
 
 #: Words of half a passage, at least; a passage is two neighbouring halves.
@@ -46,7 +47,7 @@ HALF_WORDS = 64
 BLOCK_ITEMS = 8
 #: Blocks of test items that a pass over the documents holds at once.
 BLOCKS_A_PASS = 8
-_SLOTS = 1 << 20
+_SLOTS = 1 << 18
 # ASCII characters other than letters and digits part words
 _BLANK = bytes(32 if i < 128 and not chr(i).isalnum() else i for i in range(256))
 
@@ -137,22 +138,21 @@ class Index:
         self.block_max = np.zeros((len(self.terms), len(rows) // BLOCK_ITEMS + 1), np.float32)
         np.maximum.at(self.block_max, (term, block), self.impact.astype(np.float32))
         self.block_max *= np.float32(1 + 1e-5)  # stays a bound in float32
+        cells = self.block_max.size
+        self.first_in_block = np.searchsorted(term * self.block_max.shape[1] + block, np.arange(cells + 1)).astype(np.int32)
         self.half = max(HALF_WORDS, known.longest)
-        self.slot_of = np.full(_SLOTS, -1, np.int32)
-        self.slot_of[(self.terms & np.uint64(_SLOTS - 1)).astype(np.int64)] = np.arange(len(self.terms))
-        slots = (self.terms & np.uint64(_SLOTS - 1)).astype(np.int64)
-        self.clashing = len(np.unique(slots)) < len(slots)
+        self.slots = np.zeros(_SLOTS, bool)  # which low bits terms have
+        self.slots[(self.terms & np.uint64(_SLOTS - 1)).astype(np.int64)] = True
         return self
 
     def term_ids(self, words: np.ndarray) -> np.ndarray:
         """The index's number of each word, -1 for others."""
-        if not len(self.terms):
-            return np.full(len(words), -1, np.int64)
-        if self.clashing:  # some terms share a slot
-            at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
-            return np.where(self.terms[at] == words, at, -1)
-        at = self.slot_of[(words & np.uint64(_SLOTS - 1)).astype(np.int64)].astype(np.int64)
-        return np.where((at >= 0) & (self.terms[at] == words), at, -1)
+        out = np.full(len(words), -1, np.int64)
+        maybe = np.flatnonzero(self.slots[(words & np.uint64(_SLOTS - 1)).astype(np.int64)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.terms, words[maybe]), len(self.terms) - 1)
+            out[maybe] = np.where(self.terms[at] == words[maybe], at, -1)
+        return out
 
     def search(self, terms: np.ndarray) -> list[tuple[int, float]]:
         """Block-max WAND: all (item, score) of at least the threshold; terms are distinct."""
@@ -235,15 +235,19 @@ class Index:
         tail[1:] = joined[:-1] & ~joined[1:]
         left = np.flatnonzero((whole.max(axis=1) >= self.threshold - 1e-4) & ~tail)
         first = np.searchsorted(at, np.arange(total + 1))
-        for lo in range(0, len(left), 256):  # the finest bound: blocks of one item
+        blocks_ = self.block_max.shape[1]
+        for lo in range(0, len(left), 256):  # pivot blocks of many passages at a time: only their items are scored
             some = left[lo : lo + 256]
             sets = [np.unique(term[first[h] : first[h + 1 + joined[h]]]) for h in some]
-            row, terms = np.repeat(np.arange(len(some)), [len(x) for x in sets]), np.concatenate(sets)
-            sizes_ = self.first[terms + 1] - self.first[terms]
+            row, block = np.nonzero(whole[some] >= self.threshold - 1e-4)
+            sizes_ = np.array([len(x) for x in sets])[row]
+            pair = np.repeat(np.arange(len(row)), sizes_)
+            cell = np.concatenate([sets[r] for r in row]) * blocks_ + block[pair]
+            sizes_ = self.first_in_block[cell + 1] - self.first_in_block[cell]
             ends = np.cumsum(sizes_)
-            posting = np.repeat(self.first[terms] - (ends - sizes_), sizes_) + np.arange(int(ends[-1]) if len(ends) else 0)
-            scores = np.bincount(np.repeat(row, sizes_) * len(self.ids) + self.item[posting], weights=self.impact[posting], minlength=len(some) * len(self.ids))
-            for i in np.flatnonzero(scores.reshape(len(some), -1).max(axis=1) >= self.threshold - 1e-6):
+            posting = np.repeat(self.first_in_block[cell] - (ends - sizes_), sizes_) + np.arange(int(ends[-1]) if len(ends) else 0)
+            scores = np.bincount(np.repeat(pair, sizes_) * BLOCK_ITEMS + self.item[posting] % BLOCK_ITEMS, weights=self.impact[posting], minlength=len(row) * BLOCK_ITEMS)
+            for i in np.unique(row[scores.reshape(-1, BLOCK_ITEMS).max(axis=1, initial=0) >= self.threshold - 1e-6]):
                 h = some[i]
                 begin = int(cuts[owner[h]]) + (int(h) - int(base[owner[h]])) * self.half
                 yield int(owner[h]), begin, min(begin + (1 + int(joined[h])) * self.half, int(cuts[owner[h] + 1])), sets[i]
@@ -282,6 +286,7 @@ def leaks_of_indexes(docs: DataFrame, indexes: list[Index], overlap: float, id_c
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     return rows.mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long")
 
@@ -332,18 +337,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.7, overla
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.7, overlap: float = 0.5, block_bytes: int = 128 << 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no test item."""
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    at = docs.columns.index(text_col)
-    rows = docs.toDF(*names)
+    rows = docs
     for indexes in passes(items, threshold, block_bytes, item_col, item_text_col):
         shared = docs.sparkSession.sparkContext.broadcast(indexes)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                keep = np.ones(batch.num_rows, bool)
-                for doc, _, _ in _leaks(batch.column(at).to_pylist(), shared.value, overlap):
-                    keep[doc] = False
-                yield batch.filter(pa.array(keep))
+        def run(texts: list[str | None], shared=shared) -> list[pa.Array]:
+            holds = np.zeros(len(texts), bool)
+            for doc, _, _ in _leaks(texts, shared.value, overlap):
+                holds[doc] = True
+            return [pa.array(holds)]
 
-        rows = rows.mapInArrow(run, rows.schema)
-    return rows.toDF(*docs.columns)
+        names = [f"c{i}" for i in range(len(rows.columns))]
+        marked = append_by_text(rows.toDF(*names), names[docs.columns.index(text_col)], names, run, "holds boolean")
+        rows = marked.where("not holds").drop("holds").toDF(*docs.columns)
+    return rows
