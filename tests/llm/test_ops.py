@@ -251,6 +251,99 @@ def test_bucket_scores_equal_a_plain_count():
     assert [x == "und" for x in names] == [False, True, True, False, False] and ((scores > 0) == [True, False, False, True, True]).all()
 
 
+def test_naive_bayes_equals_a_plain_loop(spark):
+    import math
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdeÄß .,1\n") for _ in range(rng.randrange(0, 80))) for _ in range(60)] + ["a", "Zz", "--x--"]
+    rows = [(i, t, ("aa", "bb")[i % 3 == 0], 0.1) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    langs, matrix = langid.train(docs, F.col("doc_id") % 5 != 0, bits=10)
+
+    def bucket(gram):
+        x = 0
+        for n, c in enumerate(gram, 1):
+            x = ((x * 0x9E3779B1) ^ (ord(c) + n)) & 0xFFFFFFFF
+        x = x * 0x85EBCA77 & 0xFFFFFFFF
+        return ((x ^ (x >> 15)) * 0xC2B2AE3D & 0xFFFFFFFF) >> 22
+
+    def grams(text):
+        plain = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text.lower())
+        plain = f" {' '.join(plain.split())} "
+        return [bucket(plain[i : i + n]) for n in (1, 2, 3) for i in range(len(plain) - n + 1) if plain[i : i + n] != " "] if plain.strip() else []
+
+    counts = {k: Counter(g for i, t, lang, _ in rows if lang == k and i % 5 for g in grams(t)) for k in langs}
+    priors = {k: sum(lang == k and i % 5 != 0 for i, _, lang, _ in rows) for k in langs}
+    names, scores = langid.score_texts(texts, langs, matrix, 10)
+    for t, name, score in zip(texts, names, scores):
+        logs = [math.log(priors[k] / sum(priors.values())) + sum(math.log((counts[k][g] + 0.5) / (counts[k].total() + 512)) for g in grams(t)) for k in langs]
+        if not grams(t):
+            assert (name, score) == ("und", 0)
+        else:
+            best = max(logs)
+            assert name == langs[logs.index(best)] and abs(score - 1 / sum(math.exp(x - best) for x in logs)) < 1e-3
+
+
+def test_long_texts_are_sliced_without_a_change(monkeypatch):
+    from sparkshards.llm import shingles
+
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("ab cÄ\n!dE  ") for _ in range(n)) for n in (0, 7, 60, 333)] + ["x" * 400 + " y", " " * 100 + "q" * 31 + "--" * 40 + "é w"]
+    matrix = np.random.default_rng(0).normal(size=((1 << 8) + 1, 2)).astype(np.float32)
+    whole = [s.tobytes() for s in shingle_sets(texts)], quality.features(texts), langid.score_texts(texts, ["a", "b"], matrix, 8)
+    for size in (16, 31):
+        monkeypatch.setattr(shingles, "BLOCK_BYTES", size)
+        monkeypatch.setattr(shingles, "_powers", None)
+        monkeypatch.setattr(quality, "BLOCK_BYTES", size)
+        monkeypatch.setattr(langid, "BLOCK", size)
+        assert [s.tobytes() for s in shingle_sets(texts)] == whole[0]
+        assert np.allclose(quality.features(texts), whole[1])
+        names, scores = langid.score_texts(texts, ["a", "b"], matrix, 8)
+        assert names == whole[2][0] and np.allclose(scores, whole[2][1])
+
+
+def test_a_very_long_text_takes_bounded_memory():
+    """20 MB of text: what is held besides stays within a small multiple of it."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    text = " ".join(rng.choice(WORDS, 1 << 20).tolist()) * 4
+    text = text[: 20 << 20]
+    matrix = np.zeros(((1 << 16) + 1, 2), np.float32)
+    for f, most in ((lambda: langid.score_texts([text], ["a", "b"], matrix, 16), 4), (lambda: next(iter(shingle_sets([text]))), 24), (lambda: quality.features([text]), 24)):
+        tracemalloc.start()
+        f()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most * len(text)
+
+
+def plain_risk(w, P, U, prior):
+    """(risk of the negative part, gradient step's direction) of the non-negative estimator, row by row."""
+    import math
+
+    loss = lambda z: math.log1p(math.exp(-abs(z))) + max(-z, 0)
+    s = lambda z: 1 / (1 + math.exp(-z))
+    dot = lambda x: sum(a * b for a, b in zip(w, x))
+    negative = sum(loss(-dot(u)) for u in U) / len(U) - prior * sum(loss(-dot(p)) for p in P) / len(P)
+    up = [sum(s(dot(u)) * u[k] for u in U) / len(U) - prior * sum(s(dot(p)) * p[k] for p in P) / len(P) for k in range(len(w))]
+    good = [prior * sum(-s(-dot(p)) * p[k] for p in P) / len(P) for k in range(len(w))]
+    return negative, [a + b for a, b in zip(up, good)] if negative >= 0 else [-a for a in up]
+
+
+def test_risk_and_gradient_equal_a_plain_loop():
+    rng = np.random.default_rng(5)
+    for prior in (0.2, 0.9):
+        for scale in (0.1, 2.0):
+            P, U, w = rng.normal(1, 1, (20, 3)), rng.normal(0, 1, (30, 3)), rng.normal(0, scale, 3)
+            negative, step = quality.risk_step(w, P, U, prior)
+            want, direction = plain_risk(w.tolist(), P.tolist(), U.tolist(), prior)
+            assert abs(negative - want) < 1e-9 and np.allclose(step, direction)
+
+
 def test_quality(spark):
     rng = random.Random(4)
     from pyspark.sql import functions as F
@@ -291,10 +384,12 @@ def test_archives_round_trip(spark):
         for i, _, h in rows:
             if i is not None and len((h or "").encode()) >= least:
                 first[h or ""] = min(first.get(h or "", i), i)
-        want = Counter()
-        for i, _, h in rows:
+        want, seen = Counter(), set()
+        for i, u, h in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
             data = (h or "").encode()
-            refers = first.get(h or "") if len(data) >= least and first.get(h or "", i) != i else None
+            # one response of each payload, the first; the others revisit it
+            refers = first.get(h or "") if len(data) >= least and data in seen else None
+            seen.add(data)
             want[i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if refers is not None else "response", refers] += 1
         none = lambda x: None if x is None or x != x else int(x)
         assert Counter((none(r.row_id), r.payload_bytes, r.payload_digest, r.record_type, none(r.refers_to)) for r in got.itertuples()) == want
