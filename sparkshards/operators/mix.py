@@ -16,18 +16,21 @@ from ..functions.names import hash_key
 from .order import with_rank
 from .sampling import weighted_source
 
-Source = tuple[DataFrame, list[str]]
+Source = tuple[DataFrame, list[str]] | tuple[DataFrame, list[str], str | None]
 
 
 def concat(sources: list[Source]) -> DataFrame:
-    """All of the first, then all of the second, and so on."""
-    parts = [with_rank(df, by, "rn").withColumn("source", F.lit(i).cast("long")) for i, (df, by) in enumerate(sources)]
+    """All of the first, then all of the second, and so on.  A source may name a column that has its rank already."""
+    parts = [with_rank(df, by, "rn", rank=next(iter(rank), None)).withColumn("source", F.lit(i).cast("long")) for i, (df, by, *rank) in enumerate(sources)]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def _lengths(df: DataFrame, n: int) -> list[int]:
-    held = {r["source"]: r["n"] for r in df.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a source
-    return [held.get(i, 0) for i in range(n)]
+def _lengths(sources: list[Source]) -> list[int]:
+    """Counted without any rank; one number a source."""
+    parts = [df.select(F.lit(i).alias("source")) for i, (df, *_) in enumerate(sources)]
+    both = reduce(lambda a, b: a.unionAll(b), parts)
+    held = {r["source"]: r["n"] for r in both.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return [held.get(i, 0) for i in range(len(sources))]
 
 
 def round_robin(sources: list[Source], longest: bool = False) -> DataFrame:
@@ -35,7 +38,7 @@ def round_robin(sources: list[Source], longest: bool = False) -> DataFrame:
     both = concat(sources)
     if longest:
         return both
-    rn, source = min((n, i) for i, n in enumerate(_lengths(both, len(sources))))
+    rn, source = min((n, i) for i, n in enumerate(_lengths(sources)))
     return both.where((F.col("rn") < rn) | ((F.col("rn") == rn) & (F.col("source") < source)))
 
 
@@ -47,18 +50,18 @@ def random_mix(sources: list[Source], weights: list[float] | None = None, seed:
     k-th draw of a source meets its row k.
     """
     weights = weights or [1.0] * len(sources)
-    both = concat(sources)
-    lengths = _lengths(both, len(sources))
+    lengths = _lengths(sources)
     live = [i for i, w in enumerate(weights) if w > 0]
-    spark = both.sparkSession
-    n = max(1, 2 * sum(lengths) + 64)
-    while True:
-        draws = spark.range(n).select(F.col("id").alias("draw"), weighted_source(weights, hash_key(seed, F.col("id"))).cast("long").alias("source"))
-        seen = {r["source"]: r["n"] for r in draws.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
-        done = [seen.get(i, 0) > lengths[i] for i in live]
-        if all(done) if longest else any(done):
+    spark = sources[0][0].sparkSession
+    drawn = lambda n: spark.range(n).select(F.col("id").alias("draw"), weighted_source(weights, hash_key(seed, F.col("id"))).cast("long").alias("source"))
+    # each draw before the end takes a row, so one more than all rows will do; with ``longest`` it may take more
+    n = sum(lengths) + 1
+    while longest:
+        seen = {r["source"]: r["n"] for r in drawn(n).groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if all(seen.get(i, 0) > lengths[i] for i in live):
             break
         n *= 2
+    draws = drawn(n)
     # each draw's number among its source's draws, ranked in blocks of draws
     blocks = draws.withColumn("block", F.floor(F.col("draw") / 10_000))
     counts = blocks.groupBy("source", "block").agg(F.count(F.lit(1)).alias("n"))
@@ -70,4 +73,4 @@ def random_mix(sources: list[Source], weights: list[float] | None = None, seed:
         sizes = F.create_map(*[x for i, m in enumerate(lengths) for x in (F.lit(i).cast("long"), F.lit(m).cast("long"))])
         cut = numbered.where(F.col("rn") >= F.element_at(sizes, F.col("source"))).agg(F.min("draw")).first()[0]
         numbered = numbered.where(F.col("draw") < cut)
-    return numbered.join(both, ["source", "rn"])
+    return numbered.join(concat(sources), ["source", "rn"])
