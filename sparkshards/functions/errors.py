@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from enum import Enum
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -72,11 +72,16 @@ ERROR = "_error"
 ERROR_TYPE = "struct<class:string,message:string,field:string>"
 
 
-def settle(df: DataFrame, policy: OnError | str, order_by: list[str]) -> DataFrame:
+def error_row(kind: str, message: Column, field: str | None = None) -> Column:
+    """The value of ``_error``."""
+    return F.struct(F.lit(kind).alias("class"), message.cast("string").alias("message"), F.lit(field).cast("string").alias("field"))
+
+
+def settle(df: DataFrame, policy: OnError | str, order_by: list[str], name: str = "errors") -> DataFrame:
     """Applies a policy to the rows whose ``_error`` is set, and drops that column.
 
-    Stopping keeps the rows ordered before the first error.  Warning policies also
-    observe the number of errors (name ``errors``).
+    Stopping keeps the rows ordered before the first error, which a subquery finds when the
+    result is used.  Warning policies also observe the number of errors, under ``name``.
     """
     policy = OnError(policy)
     bad = F.col(ERROR).isNotNull()
@@ -84,9 +89,8 @@ def settle(df: DataFrame, policy: OnError | str, order_by: list[str]) -> DataFra
         checked = F.when(bad, F.raise_error(F.concat_ws(": ", f"{ERROR}.class", f"{ERROR}.field", f"{ERROR}.message")).cast("boolean")).otherwise(F.lit(True))
         return df.where(checked).drop(ERROR)
     if policy in (OnError.WARN_CONTINUE, OnError.WARN_STOP):
-        df = df.observe("errors", F.count(F.when(bad, 1)).alias("n"))
+        df = df.observe(name, F.count(F.when(bad, 1)).alias("n"))
     if policy.stops:
-        first = df.where(bad).agg(F.min(F.struct(*order_by)).alias("m")).first()["m"]
-        if first is not None:
-            df = df.where(F.struct(*order_by) < F.struct(*[F.lit(first[c]).alias(c) for c in order_by]))
+        first = df.where(bad).agg(F.min(F.struct(*order_by)).alias("m")).scalar()
+        df = df.where(first.isNull() | (F.struct(*order_by) < first))
     return df.where(~bad).drop(ERROR)

@@ -242,6 +242,48 @@ def shorten(text: str, width: int) -> str:
     return text if len(text) <= width else "..." + text[len(text) - max(0, width - 3) :]
 
 
+def sample_size(value: object) -> int:
+    """Bytes of a value's payload, of a mapping or list those of its parts."""
+    if value is None:
+        return 0
+    if isinstance(value, dict):
+        return sum(sample_size(v) for v in value.values())
+    if isinstance(value, (list, tuple)):
+        return sum(sample_size(v) for v in value)
+    if isinstance(value, str):
+        return len(value.encode())
+    return int(value.nbytes) if hasattr(value, "nbytes") else len(value) if isinstance(value, (bytes, bytearray)) else 8
+
+
+def describe(value: object) -> str:
+    """A value in a few words."""
+    if isinstance(value, str):
+        return f"text {shorten(value, 40)!r}"
+    if isinstance(value, (bytes, bytearray)):
+        return f"bytes, {human_bytes(len(value))}"
+    if hasattr(value, "shape") and hasattr(value, "dtype"):
+        return f"tensor {value.dtype} {'x'.join(map(str, value.shape)) or 'scalar'}"
+    if isinstance(value, dict):
+        return f"map of {len(value)}"
+    if isinstance(value, (list, tuple)):
+        return f"list of {len(value)}"
+    return "null" if value is None else f"{type(value).__name__} {value}"
+
+
+def identity(x):
+    return x
+
+
+def is_iterable(x: object) -> bool:
+    return isinstance(x, Iterable) and not isinstance(x, (str, bytes))
+
+
+def guess_batchsize(batch: object) -> int:
+    """Rows of a batch: of its first column."""
+    first = next(iter(batch.values())) if isinstance(batch, dict) else batch[0]
+    return len(first)
+
+
 def choose_weighted(weights: list[float], u: float) -> int:
     """The place of u (0 to 1) among cumulative weights."""
     if not weights or min(weights) < 0 or sum(weights) <= 0:

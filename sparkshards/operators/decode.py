@@ -9,20 +9,25 @@ from __future__ import annotations
 
 import gzip
 import json
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import codecs, images
-from ..functions.errors import DecodeError, EncodeError, MissingKey, Unsupported
-from ..functions.names import is_meta
+from ..functions.errors import ERROR, DecodeError, EncodeError, MissingKey, OnError, Unsupported, error_row, settle
+from ..functions.names import KEY, is_meta
 from ..functions.tensors import TENSOR, Labelled, read_npy, read_npz, read_tenbin, to_array, to_row, write_npy, write_npz, write_tenbin
 from .transform import FIELDS, quoted
 
+#: A function of (".name", column) over fields that are still bytes.
+LeftOver = Callable[[str, Column], Column | None]
 # Which extensions mean what.
 TEXT = ["txt", "text", "transcript"]
 INTEGER = ["cls", "cls2", "class", "count", "index", "inx", "id"]
@@ -138,12 +143,79 @@ def matches(name: str, extension: str) -> bool:
     return ("." + name.lower()).endswith("." + extension.lower().lstrip("."))
 
 
-def decode(df: DataFrame, image_spec: str | None = None, only: list[str] | None = None, partial: bool = True, handlers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+def _tried(name: str, decode: Callable[[bytes], object], kind: T.DataType) -> Callable[[Column], Column]:
+    """struct<value, error> of a field: an Arrow function that keeps errors as text."""
+    made = to_arrow_type(T.StructType([T.StructField("value", kind), T.StructField("error", T.StringType())]))
+
+    def one(v: bytes | None) -> dict:
+        try:
+            return {"value": None if v is None else decode(v), "error": None}
+        except Exception as e:
+            return {"value": None, "error": f"{name}: {e}"}
+
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([one(v) for v in values.to_pylist()], made)
+
+    run.__annotations__ = {"values": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, T.StructType([T.StructField("value", kind), T.StructField("error", T.StringType())])).asNondeterministic()
+
+
+def _tensor_dict(a: np.ndarray) -> dict:
+    return dict(zip(("dtype", "shape", "data"), to_row(a)))
+
+
+def _binary_kinds(image_spec: str | None) -> dict[str, tuple[Callable[[bytes], object], T.DataType]]:
+    """What binary fields become, by kind."""
+    out: dict[str, tuple[Callable[[bytes], object], T.DataType]] = {
+        "npy": (lambda v: _tensor_dict(read_npy(v)), TENSOR),
+        "npz": (lambda v: [(k, _tensor_dict(a)) for k, a in read_npz(v).items()], T.MapType(T.StringType(), TENSOR)),
+        "tenbin": (lambda v: [_tensor_dict(a) for a in read_tenbin(v)], T.ArrayType(TENSOR)),
+        "msgpack": (lambda v: json.dumps(codecs.jsonable(codecs.unpack_msgpack(v))), T.StringType()),
+        "cbor": (lambda v: json.dumps(codecs.jsonable(codecs.unpack_cbor(v))), T.StringType()),
+    }
+    if image_spec:
+        out["image"] = (lambda v: _tensor_dict(images.to_value(images.read_image(v), image_spec)), TENSOR)
+    return out
+
+
+def try_decode_column(data: Column, name: str, image_spec: str | None = None) -> Column:
+    """struct<value, error>: the decoded form, or null and what is wrong with the bytes."""
+    pair = lambda value, error: F.struct(value.alias("value"), error.cast("string").alias("error"))
+    if name.lower().endswith(".gz"):
+        plain = _tried("gzip", gzip.decompress, T.BinaryType())(data)
+        inner = try_decode_column(plain["value"], name[:-3], image_spec)
+        return pair(inner["value"], F.coalesce(plain["error"], inner["error"]))
+    kind, bad = kind_of(name), lambda value, what: F.when(data.isNotNull() & value.isNull(), F.lit(what))
+    if kind == "pickle":
+        return pair(F.lit(None).cast("binary"), F.when(data.isNotNull(), F.lit("pickled data runs code when it is read")))
+    if kind == "text":
+        value = F.try_validate_utf8(data.cast("string"))
+        return pair(value, bad(value, "no UTF-8 text"))
+    if kind == "integer":
+        text = F.regexp_extract(F.try_validate_utf8(data.cast("string")), INTEGER_PATTERN, 1)
+        value = F.nullif(text, F.lit("")).try_cast("bigint")
+        return pair(value, bad(value, "no integer"))
+    if kind == "json":
+        value = F.try_parse_json(F.try_validate_utf8(data.cast("string")))
+        return pair(value, bad(value, "no JSON"))
+    found = _binary_kinds(image_spec).get(kind)
+    if found is None:
+        return pair(data, F.lit(None))
+    tried = _tried(kind, *found)(data)
+    return pair(F.try_parse_json(tried["value"]), tried["error"]) if kind in ("msgpack", "cbor") else tried
+
+
+def decode(df: DataFrame, image_spec: str | None = None, only: list[str] | None = None, partial: bool = True, handlers: dict[str, Callable[[Column], Column]] | None = None, handler: OnError | str = OnError.RAISE, order_by: list[str] | None = None, pre: list[LeftOver] | None = None, post: list[LeftOver] | None = None) -> DataFrame:
     """Decodes the binary fields (all, or ``only``).  ``handlers`` go before the built-in ones, by extension.
 
-    A field that is no longer binary is left if ``partial``, else an error.
+    A field that is no longer binary is left if ``partial``, else an error.  ``handler``
+    says what becomes of a sample with a field that can't be decoded (``order_by``: the
+    order in which a stop policy stops).  ``pre`` and then ``post`` are functions of
+    ("." + name, column) for fields that are still bytes; the first that does not return
+    None makes the field.
     """
-    out = {}
+    handler = OnError(handler)
+    out, errors = {}, []
     for f in df.schema.fields:
         if is_meta(f.name) or (only is not None and f.name not in only):
             continue
@@ -152,8 +224,26 @@ def decode(df: DataFrame, image_spec: str | None = None, only: list[str] | None
                 raise DecodeError(f"{f.name} is decoded already")
             continue
         own = next((h for ext, h in (handlers or {}).items() if matches(f.name, ext)), None)
-        out[f.name] = own(quoted(f.name)) if own else decode_column(quoted(f.name), f.name, image_spec)
-    return df.withColumns(out) if out else df
+        if own:
+            out[f.name] = own(quoted(f.name))
+        elif handler is OnError.RAISE:
+            out[f.name] = decode_column(quoted(f.name), f.name, image_spec)
+        else:
+            out[f.name] = try_decode_column(quoted(f.name), f.name, image_spec)
+            errors.append(f.name)
+    made = df.withColumns(out) if out else df
+    if errors:
+        # all fields are tried once, then told apart
+        found = [F.when(quoted(n)["error"].isNotNull(), error_row("DecodeError", quoted(n)["error"], n)) for n in errors]
+        made = made.withColumn(ERROR, F.coalesce(*found)).withColumns({n: quoted(n)["value"] for n in errors})
+        made = settle(made, handler, order_by or [KEY], f"decode errors {uuid.uuid4().hex[:8]}")
+    left = {}
+    for f in made.schema.fields:
+        if (pre or post) and isinstance(f.dataType, T.BinaryType) and not is_meta(f.name) and (only is None or f.name in only):
+            value = next((v for g in [*(pre or []), *(post or [])] if (v := g("." + f.name, quoted(f.name))) is not None), None)
+            if value is not None:
+                left[f.name] = value
+    return made.withColumns(left) if left else made
 
 
 # -- encoding ----------------------------------------------------------------------

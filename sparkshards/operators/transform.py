@@ -8,14 +8,16 @@ as absent.
 from __future__ import annotations
 
 import fnmatch
+import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.errors import DuplicateKey, FormatError, MissingKey
+from ..functions.errors import ERROR, ERROR_TYPE, DuplicateKey, FormatError, MissingKey, OnError, error_row, settle
 from ..functions.names import KEY, is_meta
 
 FIELDS = "__fields__"
@@ -32,8 +34,22 @@ def present(df: DataFrame, name: str) -> Column:
     return F.array_contains(FIELDS, name) if FIELDS in df.columns else quoted(name).isNotNull()
 
 
-def _map_frames(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str | None) -> DataFrame:
-    """mapInPandas that stands dots in column names."""
+def _one_by_one(f: Callable[[pd.DataFrame], pd.DataFrame], x: pd.DataFrame, names: list[str], order_by: list[str]) -> pd.DataFrame:
+    """The rows of a frame each alone; a row that fails keeps its order columns and says why."""
+    parts = []
+    for i in range(len(x)):
+        one = x.iloc[i : i + 1]
+        try:
+            parts.append(f(one).reindex(columns=names).assign(**{ERROR: None}))
+        except Exception as e:
+            bad = {n: one[n] if n in order_by else pd.Series([None], index=one.index, dtype=object) for n in names}
+            parts.append(pd.DataFrame(bad).assign(**{ERROR: [{"class": type(e).__name__, "message": str(e), "field": None}]}))
+    return pd.concat(parts) if parts else x.iloc[:0].reindex(columns=[*names, ERROR])
+
+
+def _map_frames(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str | None, handler: OnError | str = OnError.RAISE, order_by: Iterable[str] = ()) -> DataFrame:
+    """mapInPandas that stands dots in column names.  With a ``handler`` a frame that fails is mapped again row by row."""
+    handler, order_by = OnError(handler), list(order_by)
     columns = df.columns
     plain = df.toDF(*[f"c{i}" for i in range(len(columns))])
     out = df.schema if schema is None else T._parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -42,27 +58,37 @@ def _map_frames(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
             x.columns = columns
-            yield f(x)[names].set_axis([f"c{i}" for i in range(len(names))], axis=1)
-
-    made = plain.mapInPandas(run, T.StructType([T.StructField(f"c{i}", x.dataType) for i, x in enumerate(out.fields)]))
-    return made.toDF(*names)
-
-
-def select(df: DataFrame, predicate: Column | str | Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
+            short = [f"c{i}" for i in range(len(names))]
+            if handler is OnError.RAISE:
+                yield f(x)[names].set_axis(short, axis=1)
+                continue
+            try:
+                yield f(x)[names].set_axis(short, axis=1).assign(**{ERROR: None})
+            except Exception:
+                yield _one_by_one(f, x, names, order_by).set_axis([*short, ERROR], axis=1)
+
+    fields = [T.StructField(f"c{i}", x.dataType) for i, x in enumerate(out.fields)]
+    if handler is OnError.RAISE:
+        return plain.mapInPandas(run, T.StructType(fields)).toDF(*names)
+    made = plain.mapInPandas(run, T.StructType([*fields, T.StructField(ERROR, T._parse_datatype_string(ERROR_TYPE))])).toDF(*names, ERROR)
+    return settle(made, handler, order_by or [KEY], f"map errors {uuid.uuid4().hex[:8]}")
+
+
+def select(df: DataFrame, predicate: Column | str | Callable[[pd.DataFrame], pd.Series], handler: OnError | str = OnError.RAISE, order_by: Iterable[str] = ()) -> DataFrame:
     """Keeps rows: an expression, or a function from a frame to booleans."""
     if not callable(predicate) or isinstance(predicate, Column):
         return df.where(predicate)
-    return _map_frames(df, lambda x: x[predicate(x).astype(bool)], None)
+    return _map_frames(df, lambda x: x[predicate(x).astype(bool)], None, handler, order_by)
 
 
-def map_sample(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str | None = None) -> DataFrame:
+def map_sample(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str | None = None, handler: OnError | str = OnError.RAISE, order_by: Iterable[str] = ()) -> DataFrame:
     """Rows to rows, fewer if f drops some; the key comes back if f loses it."""
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
         out = f(x)
         return out.assign(**{KEY: x[KEY].reindex(out.index)}) if KEY in x and KEY not in out else out
 
-    return _map_frames(df, run, schema)
+    return _map_frames(df, run, schema, handler, order_by)
 
 
 def map_field(df: DataFrame, name: str, f: Callable[[Column], Column]) -> DataFrame:
@@ -96,9 +122,18 @@ def first_of(df: DataFrame, spec: str, missing_is_error: bool = True) -> Column:
     return out
 
 
-def to_tuple(df: DataFrame, *specs: str, missing_is_error: bool = True, keep: Iterable[str] = ()) -> DataFrame:
+def _with_missing(df: DataFrame, specs: Iterable[str]) -> DataFrame:
+    """Marks the samples that have none of a spec's fields."""
+    has = lambda s: reduce(lambda a, b: a | b, [present(df, n) for n in s.split(";") if n], F.lit(False))
+    return df.withColumn(ERROR, F.coalesce(*[F.when(~F.coalesce(has(s), F.lit(False)), error_row("MissingKey", F.lit(s))) for s in specs]))
+
+
+def to_tuple(df: DataFrame, *specs: str, missing_is_error: bool = True, keep: Iterable[str] = (), handler: OnError | str = OnError.RAISE) -> DataFrame:
     """Positional columns _0, _1, ...; a single argument may name several, parted by blanks."""
     names = specs[0].split() if len(specs) == 1 else list(specs)
+    keep = list(keep)
+    if OnError(handler) is not OnError.RAISE:
+        return settle(_with_missing(df, names), handler, keep or [KEY], f"tuple errors {uuid.uuid4().hex[:8]}").select(*[quoted(k) for k in keep], *[first_of(df, s, False).alias(f"_{i}") for i, s in enumerate(names)])
     return df.select(*[quoted(k) for k in keep], *[first_of(df, s, missing_is_error).alias(f"_{i}") for i, s in enumerate(names)])
 
 
@@ -120,8 +155,10 @@ def extract_keys(df: DataFrame, *patterns: str, missing_is_error: bool = True, d
     return df.select(*[quoted(k) for k in keep], *[quoted(c).alias(f"_{i}") for i, c in enumerate(chosen)])
 
 
-def rename(df: DataFrame, keep: bool = True, **targets: str) -> DataFrame:
+def rename(df: DataFrame, keep: bool = True, handler: OnError | str = OnError.RAISE, order_by: Iterable[str] = (), **targets: str) -> DataFrame:
     """target="a;b": the first present one.  All alternatives go; keep=False keeps only metadata besides."""
+    if OnError(handler) is not OnError.RAISE:
+        df = settle(_with_missing(df, targets.values()), handler, list(order_by) or [KEY], f"rename errors {uuid.uuid4().hex[:8]}")
     used = {n for spec in targets.values() for n in spec.split(";")}
     others = [c for c in df.columns if c not in used and c not in targets and (keep or is_meta(c))]
     return df.select(*[quoted(c) for c in others], *[first_of(df, spec).alias(t) for t, spec in targets.items()])

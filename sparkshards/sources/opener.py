@@ -6,9 +6,11 @@ import hashlib
 import io
 import os
 import re
+import shutil
 import subprocess
 import sys
 import time
+import urllib.error
 import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -80,12 +82,12 @@ def url_to_cache_name(url: str, ndir: int = 0) -> str:
 
 
 class _Pipe(io.RawIOBase):
-    """A shell command's output or input; its exit status is checked at the end."""
+    """A command's output or input; its exit status is checked at the end.  A text is for the shell, a list runs as it is."""
 
-    def __init__(self, command: str, mode: str, ignored: tuple[int, ...] = (0, 141)):
+    def __init__(self, command: str | list[str], mode: str, ignored: tuple[int, ...] = (0, 141)):
         write = "w" in mode
         self.ignored, self.command = ignored, command
-        self.process = subprocess.Popen(["/bin/sh", "-c", command], stdin=subprocess.PIPE if write else None, stdout=None if write else subprocess.PIPE)
+        self.process = subprocess.Popen(["/bin/sh", "-c", command] if isinstance(command, str) else command, stdin=subprocess.PIPE if write else None, stdout=None if write else subprocess.PIPE)
         self.pipe = self.process.stdin if write else self.process.stdout
         self.ended = False
 
@@ -129,18 +131,35 @@ def schemes() -> dict[str, Handler]:
     return dict(sorted(_schemes.items()))
 
 
+#: Schemes that a program transfers: its arguments for reading and for writing, and its harmless exit codes (a reader that stops early).
+TRANSFERS: dict[str, tuple[list[str], list[str] | None, tuple[int, ...]]] = {
+    **{kind: (["curl", "-sSfL", "{url}"], ["curl", "-sSfL", "-T", "-", "{url}"], (0, 23, 26, 141)) for kind in ("http", "https", "ftp", "ftps", "sftp", "scp")},
+    "ais": (["ais", "get", "{url}", "-"], ["ais", "put", "-", "{url}"], (0, 141)),
+}
+
+
+def reroute(url: str, schemes_: str | None) -> str:
+    """``gs:s3``: buckets of these schemes are read through ais."""
+    kind = scheme(url)
+    return f"ais://{url.split('://', 1)[1]}?provider={kind}" if kind and "://" in url and kind in (schemes_ or "").split(":") else url
+
+
 @dataclass
 class Opener:
     """What it takes to open URLs; travels to executors."""
 
     secure: bool = False
     allow_pipe: bool = False
-    rewrite: str | None = None
+    rewrite: str | None = field(default_factory=lambda: os.environ.get("GOPEN_REWRITE"))
+    ais_for: str | None = field(default_factory=lambda: os.environ.get("USE_AIS_FOR"))
+    token: str | None = field(default_factory=lambda: os.environ.get("HF_TOKEN"), repr=False)
     memory: dict[str, bytes] = field(default_factory=dict)
     handlers: dict[str, Handler] = field(default_factory=schemes)
     cache_dir: str | None = None
     cache_bytes: int | None = None
     retries: int = 3
+    backoff: float = 1.5
+    timeout: float = 60.0
 
     def check(self, url: str) -> None:
         if self.secure and (scheme(url) in (None, "file", "pipe") or self.rewrite):
@@ -150,7 +169,7 @@ class Opener:
         if url in self.memory and "r" in mode:
             return io.BytesIO(self.memory[url])
         self.check(url)
-        url = rewrite_url(url, self.rewrite)
+        url = reroute(rewrite_url(url, self.rewrite), self.ais_for)
         kind = scheme(url)
         if "r" in mode and self.cache_dir and not is_local(url) and kind != "pipe":
             return open(self.cached(url), "rb")
@@ -169,19 +188,41 @@ class Opener:
             return raw if "w" in mode else io.BufferedReader(raw, 1 << 20)
         if is_local(url):
             return open(to_local_path(url), "rb" if "r" in mode else "wb")
+        headers = {}
         if kind == "hf":
             url, kind = resolve_hub_url(url), "https"
+            headers = {"Authorization": f"Bearer {self.token}"} if self.token else {}
         if kind == "htgs":
             url, kind = "https://storage.googleapis.com/" + url.split(":", 1)[1].lstrip("/"), "https"
         if kind in ("http", "https", "ftp"):
-            if "w" in mode:
-                raise Unsupported(f"writing to {kind}")
-            return urllib.request.urlopen(url)
+            if "w" not in mode:
+                return self._fetched(urllib.request.Request(url, headers=headers))
+        if kind in TRANSFERS:
+            read, write, ignored = TRANSFERS[kind]
+            command = [x.replace("{url}", url) for x in (write if "w" in mode else read)]
+            if shutil.which(command[0]) is None:
+                raise Unsupported(f"{kind}: needs the program {command[0]}")
+            raw = _Pipe(command, mode, ignored)
+            return raw if "w" in mode else io.BufferedReader(raw, 1 << 20)
         from pyarrow import fs
 
         files, path = fs.FileSystem.from_uri(url)
         return files.open_input_stream(path, compression=None) if "r" in mode else files.open_output_stream(path, compression=None)
 
+    def _fetched(self, request: urllib.request.Request) -> BinaryIO:
+        """An answer; servers that are down or busy are asked again, each time later."""
+        for i in range(self.retries):
+            try:
+                return urllib.request.urlopen(request, timeout=self.timeout)
+            except urllib.error.HTTPError as e:
+                if e.code < 500 and e.code not in (408, 429) or i + 1 == self.retries:
+                    raise
+            except OSError:
+                if i + 1 == self.retries:
+                    raise
+            time.sleep(min(30.0, self.backoff**i))
+        raise FormatError(request.full_url)
+
     def cached(self, url: str) -> str:
         """The path of a whole copy on this machine; downloads go to a name of their own first."""
         path = os.path.join(self.cache_dir, url_to_cache_name(url))
@@ -209,7 +250,7 @@ class Opener:
                     os.unlink(temp)
                 if i + 1 == self.retries:
                     raise
-                time.sleep(1.5**i)
+                time.sleep(self.backoff**i)
         raise FormatError(url)
 
     def clean(self) -> None:

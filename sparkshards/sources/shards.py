@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from ..functions.errors import EmptyDataset, OnError
+from ..functions.errors import ERROR, ERROR_TYPE, EmptyDataset, OnError, ShardError, settle
 from ..functions.names import KEY, LOCAL_PATH, POS, SHARD_ORD, URL, expand_urls, format_shard_pattern
+from ..operators.order import kept
 from .opener import Opener, to_local_path
-from .tario import Selection, TarWriter, read_samples
+from .tario import Problem, Selection, TarWriter, samples_and_problems
 
 RAW = f"{SHARD_ORD} long, {POS} long, {KEY} string, {URL} string, {LOCAL_PATH} string, fields map<string,binary>, field_order array<string>"
 MEMBERS = f"{SHARD_ORD} long, member_ord long, {URL} string, {LOCAL_PATH} string, name string, data binary"
@@ -30,6 +31,7 @@ BATCH_BYTES = 8 << 20
 MAX_TASKS = 50_000
 
 _RAW_ARROW = pa.schema([(SHARD_ORD, pa.int64()), (POS, pa.int64()), (KEY, pa.string()), (URL, pa.string()), (LOCAL_PATH, pa.string()), ("fields", pa.map_(pa.string(), pa.binary())), ("field_order", pa.list_(pa.string()))])
+_ERROR_ARROW = pa.field(ERROR, pa.struct([("class", pa.string()), ("message", pa.string()), ("field", pa.string())]))
 
 
 def shard_frame(spark: SparkSession, urls: list[str]) -> DataFrame:
@@ -37,63 +39,102 @@ def shard_frame(spark: SparkSession, urls: list[str]) -> DataFrame:
 
 
 def _scan(ordinal: int, url: str, opener: Opener, selection: Selection | None, lowercase: bool, policy: OnError, fields: set[str] | None, limit: int | None) -> Iterator[tuple]:
-    """The raw samples of one shard as tuples of _RAW_ARROW."""
+    """The raw samples of one shard as tuples of _RAW_ARROW, and tuples of its errors unless these are raised.
+
+    An error has the position of the sample that it befell.
+    """
+    error = lambda at, e: (ordinal, at, None, url, to_local_path(url), [], [], {"class": type(e).__name__, "message": str(e), "field": None})
     try:
         stream = opener.open(url)
-    except Exception:
+    except Exception as e:
         if policy is OnError.RAISE:
             raise
+        yield error(0, e)
         return
     with stream:
-        for pos, sample in enumerate(read_samples(stream, selection, lowercase, policy)):
-            if limit is not None and pos >= limit:
+        pos = 0
+        found = samples_and_problems(stream, selection, lowercase)
+        while limit is None or pos < limit:
+            try:
+                x = next(found, None)
+            except (ShardError, OSError, EOFError) as e:  # the first bytes are no archive's
+                x = Problem(e)
+            if x is None:
                 return
-            held = sample.fields if fields is None else {k: v for k, v in sample.fields.items() if k in fields}
-            yield ordinal, pos, sample.key, url, to_local_path(url), list(held.items()), list(held)
-
-
-def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+            if isinstance(x, Problem):
+                if policy is OnError.RAISE:
+                    raise x.error
+                yield error(pos, x.error)
+                if policy.stops:
+                    return
+                continue
+            held = x.fields if fields is None else {k: v for k, v in x.fields.items() if k in fields}
+            yield ordinal, pos, x.key, url, to_local_path(url), list(held.items()), list(held), None
+            pos += 1
+
+
+def _batches(rows: Iterator[tuple], errors: bool = False) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for row in rows:
+        if row[7] is not None and not errors:
+            continue
         held.append(row)
         size += 200 + sum(len(v) for _, v in row[5])
         if size >= BATCH_BYTES:
-            yield _to_batch(held)
+            yield _to_batch(held, errors)
             held, size = [], 0
     if held:
-        yield _to_batch(held)
+        yield _to_batch(held, errors)
+
 
+def _to_batch(rows: list[tuple], errors: bool) -> pa.RecordBatch:
+    schema = _RAW_ARROW.append(_ERROR_ARROW) if errors else _RAW_ARROW
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-def _to_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _RAW_ARROW.types)], schema=_RAW_ARROW)
+
+def _settled(made: Callable[[bool], DataFrame], policy: OnError) -> DataFrame:
+    """Under a policy that stops or warns, errors come as rows, and the policy is applied to them in the order of all shards."""
+    if policy in (OnError.RAISE, OnError.CONTINUE):
+        return made(False)
+    return settle(made(True), policy, [SHARD_ORD, POS], f"scan errors {uuid.uuid4().hex[:8]}")
 
 
 def read_shards(shards: DataFrame, opener: Opener | None = None, selection: Selection | None = None, lowercase: bool = True, policy: OnError | str = OnError.RAISE, fields: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """Raw samples of a shard list (__shard_ord__, url).  ``fields`` leaves other fields' bytes behind in the task;
-    ``limit`` reads so many samples of each shard at most."""
-    opener, policy, wanted = opener or Opener(), OnError(policy), set(fields) if fields is not None else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ordinal, url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield from _batches(_scan(ordinal, url, opener, selection, lowercase, policy, wanted, limit))
+    ``limit`` reads so many samples of each shard at most.
 
+    A policy that stops ends the whole stream at the first error, as a reader of one shard
+    after another would: no sample of it or after it is left.
+    """
+    opener, policy, wanted = opener or Opener(), OnError(policy), set(fields) if fields is not None else None
     n = max(1, min(shards.count(), MAX_TASKS))
     # one shard a task (neighbours together beyond MAX_TASKS), dealt by position, not by hash
-    return shards.select(SHARD_ORD, "url").repartitionByRange(n, SHARD_ORD).mapInArrow(run, RAW)
+    dealt = shards.select(SHARD_ORD, "url").repartitionByRange(n, SHARD_ORD)
+
+    def made(errors: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for ordinal, url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    yield from _batches(_scan(ordinal, url, opener, selection, lowercase, policy, wanted, limit), errors)
+
+        return dealt.mapInArrow(run, RAW + f", {ERROR} {ERROR_TYPE}" * errors)
+
+    return _settled(made, policy)
 
 
 def read_content(contents: DataFrame, selection: Selection | None = None, lowercase: bool = True, policy: OnError | str = OnError.RAISE) -> DataFrame:
     """Raw samples of archives that are rows already: (__shard_ord__, url, content)."""
     policy = OnError(policy)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ordinal, url, content in zip(*(c.to_pylist() for c in batch.columns)):
-                opener = Opener(memory={url: content})
-                yield from _batches(_scan(ordinal, url, opener, selection, lowercase, policy, None, None))
+    def made(errors: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for ordinal, url, content in zip(*(c.to_pylist() for c in batch.columns)):
+                    yield from _batches(_scan(ordinal, url, Opener(memory={url: content}), selection, lowercase, policy, None, None), errors)
+
+        return contents.select(SHARD_ORD, "url", "content").mapInArrow(run, RAW + f", {ERROR} {ERROR_TYPE}" * errors)
 
-    return contents.select(SHARD_ORD, "url", "content").mapInArrow(run, RAW)
+    return _settled(made, policy)
 
 
 def group_members(found: DataFrame, lowercase: bool = True) -> DataFrame:
@@ -165,7 +206,8 @@ def write_shards(samples: DataFrame, folder: str, pattern: str = "shard-%06d.tar
 
     rows = samples.select(F.col(shard_col).cast("long").alias("shard"), KEY, "fields", *[c for c in order_by if c != KEY])
     placed = rows.repartition("shard").sortWithinPartitions("shard", *order_by)
-    written = placed.select("shard", KEY, "fields").mapInArrow(run, "shard long, url string, samples long, payload_bytes long").persist()
+    # kept in the shared folder where there is one: a lost executor does not write archives again
+    written = kept(placed.select("shard", KEY, "fields").mapInArrow(run, "shard long, url string, samples long, payload_bytes long"))
     written.count()
     if post:
         for row in written.orderBy("shard").toLocalIterator():

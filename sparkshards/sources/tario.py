@@ -209,9 +209,14 @@ def group(found: Iterable[tuple[str, bytes]], lowercase: bool = True) -> Iterato
         yield now
 
 
+def samples_and_problems(stream: BinaryIO, selection: Selection | None = None, lowercase: bool = True) -> Iterator[Sample | Problem]:
+    """All that one archive gives."""
+    yield from group((selection or Selection()).apply(members(decompress(stream))), lowercase)
+
+
 def read_samples(stream: BinaryIO, selection: Selection | None = None, lowercase: bool = True, policy: OnError = OnError.RAISE) -> Iterator[Sample]:
-    """Samples of one archive under a policy; stopping ends this archive."""
-    for x in group((selection or Selection()).apply(members(decompress(stream))), lowercase):
+    """Samples of one archive under a policy."""
+    for x in samples_and_problems(stream, selection, lowercase):
         if isinstance(x, Sample):
             yield x
         elif policy is OnError.RAISE:
