@@ -1,4 +1,4 @@
-"""Images without an image library: PNG, PPM/PGM and BMP in numpy; specs to layouts."""
+"""Images without an image library: PNG, JPEG, GIF, PPM/PGM and BMP in numpy; specs to layouts."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 
 from .errors import DecodeError, EncodeError, Unsupported
+from .jpeg import read_jpeg, write_jpeg
 
 #: Extensions that are images, and specs as (mode, element type, layout).
 EXTENSIONS = ["jpg", "jpeg", "png", "ppm", "pgm", "pbm", "pnm", "bmp", "gif", "tif", "tiff", "webp", "tga", "dds", "exr", "ff", "hdr", "ico", "qoi", "avif", "img", "image"]
@@ -69,8 +70,28 @@ def _unfilter(raw: bytes, height: int, stride: int, bpp: int) -> np.ndarray:
     return out[1:, bpp:]
 
 
+def _unpacked(raw: bytes, width: int, height: int, channels: int, depth: int) -> np.ndarray:
+    """(height, width, channels) samples of a picture or of one pass of it, at most 8 bits of each."""
+    bits = width * channels * depth
+    rows = _unfilter(raw, height, -(-bits // 8), max(1, channels * depth // 8))
+    if depth == 16:
+        rows = rows[:, ::2]  # the high bytes
+    elif depth < 8:
+        each = np.unpackbits(rows, axis=1)[:, :bits].reshape(height, -1, depth)
+        rows = (each * (1 << np.arange(depth - 1, -1, -1))).sum(axis=2).astype(np.uint8)
+    return rows.reshape(height, width, channels)
+
+
+def _passes(width: int, height: int) -> list[tuple[int, int, int, int]]:
+    """First column and row, and steps, of the seven passes of an interlaced picture that hold pixels."""
+    found = [(0, 0, 8, 8)]
+    for step in (8, 4, 2):  # half of what is left by columns, then by rows
+        found += [(step // 2, 0, step, step), (0, step // 2, step // 2, step)]
+    return [(x, y, dx, dy) for x, y, dx, dy in found if x < width and y < height]
+
+
 def read_png(data: bytes) -> np.ndarray:
-    """(height, width, 1, 3 or 4) uint8; 8 bits, not interlaced; grey with alpha becomes RGBA."""
+    """(height, width, 1, 3 or 4) uint8; 16 bits keep their high byte, fewer are widened, grey with alpha becomes RGBA."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise DecodeError("not a PNG")
     at, body, palette, clear, head = 8, [], None, None, None
@@ -94,13 +115,19 @@ def read_png(data: bytes) -> np.ndarray:
         raise DecodeError("PNG without a header")
     width, height, depth, color, _, _, interlaced = head
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(color)
-    if depth != 8 or interlaced or channels is None:
-        raise Unsupported("PNG other than 8 bits, not interlaced")
+    if channels is None or depth not in (1, 2, 4, 8, 16) or (depth < 8 and channels > 1):
+        raise Unsupported("kind of PNG")
+    passes = _passes(width, height) if interlaced else [(0, 0, 1, 1)]
+    spans = [(-(-(width - x) // dx), -(-(height - y) // dy)) for x, y, dx, dy in passes]
+    sizes = [h * (-(-w * channels * depth // 8) + 1) for w, h in spans]
     try:
-        raw = zlib.decompressobj().decompress(b"".join(body), height * (width * channels + 1))
+        raw = zlib.decompressobj().decompress(b"".join(body), sum(sizes))
     except zlib.error as e:
         raise DecodeError(f"PNG data: {e}") from e
-    a = _unfilter(raw, height, width * channels, channels).reshape(height, width, channels)
+    a, begin = np.zeros((height, width, channels), np.uint8), 0
+    for (x, y, dx, dy), (w, h), size in zip(passes, spans, sizes):
+        a[y::dy, x::dx] = _unpacked(raw[begin : begin + size], w, h, channels, depth)
+        begin += size
     if color == 3:
         if palette is None or int(a.max(initial=0)) >= len(palette):
             raise DecodeError("bad PNG palette")
@@ -110,6 +137,8 @@ def read_png(data: bytes) -> np.ndarray:
         alpha = np.full(len(palette), 255, np.uint8)
         alpha[: len(clear)] = clear[: len(palette)]
         return np.concatenate([rgb, alpha[a[..., 0]][..., None]], axis=2)
+    if depth < 8:
+        a = a * np.uint8(255 // ((1 << depth) - 1))
     if color == 4:
         return np.concatenate([a[..., :1]] * 3 + [a[..., 1:]], axis=2)
     return a
@@ -167,6 +196,84 @@ def write_bmp(a: np.ndarray) -> bytes:
     return b"BM" + struct.pack("<IHHI", 54 + rows.size, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, rows.size, 2835, 2835, 0, 0) + rows.tobytes()
 
 
+# -- GIF -------------------------------------------------------------------------
+
+
+def _lzw(data: bytes, width: int) -> bytes:
+    """Codes that grow from ``width`` + 1 to 12 bits, lowest bit first."""
+    clear = 1 << width
+    start = [bytes([i]) for i in range(clear)] + [b"", b""]
+    table, size, before, out = list(start), width + 1, None, []
+    held = have = 0
+    for byte in data:
+        held |= byte << have
+        have += 8
+        while have >= size:
+            code, held, have = held & ((1 << size) - 1), held >> size, have - size
+            if code == clear:
+                table, size, before = list(start), width + 1, None
+                continue
+            if code == clear + 1:
+                return b"".join(out)
+            if code > len(table) or (before is None and code >= clear):
+                raise DecodeError("bad GIF code")
+            entry = table[code] if code < len(table) else before + before[:1]
+            out.append(entry)
+            if before is not None and len(table) < 4096:
+                table.append(before + entry[:1])
+                if len(table) == 1 << size and size < 12:
+                    size += 1
+            before = entry
+    return b"".join(out)
+
+
+def read_gif(data: bytes) -> np.ndarray:
+    """The first picture, (height, width, 3 or 4) uint8; alpha if it has a clear colour or leaves a part of the canvas."""
+    if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
+        raise DecodeError("not a GIF")
+    wide, high, flags = struct.unpack_from("<HHB", data, 6)
+    colours = lambda at, f: np.frombuffer(data, np.uint8, 3 << (f & 7) + 1, at).reshape(-1, 3)
+    at = 13
+    shared = colours(at, flags) if flags & 0x80 else None
+    at += 3 << (flags & 7) + 1 if flags & 0x80 else 0
+    clear = None
+
+    def blocks(at: int) -> tuple[bytes, int]:
+        parts = []
+        while data[at]:
+            parts.append(data[at + 1 : at + 1 + data[at]])
+            at += 1 + data[at]
+        return b"".join(parts), at + 1
+
+    try:
+        while data[at] != 0x2C:
+            if data[at] != 0x21:
+                raise DecodeError("GIF without a picture")
+            part, after = blocks(at + 2)
+            if data[at + 1] == 0xF9 and part[0] & 1:
+                clear = part[3]
+            at = after
+        x, y, w, h, own = struct.unpack_from("<HHHHB", data, at + 1)
+        at += 10
+        palette = colours(at, own) if own & 0x80 else shared
+        at += 3 << (own & 7) + 1 if own & 0x80 else 0
+        pixels = _lzw(blocks(at + 1)[0], data[at])
+    except (IndexError, ValueError, struct.error) as e:
+        raise DecodeError(f"damaged GIF: {e}") from e
+    if palette is None or len(pixels) < w * h:
+        raise DecodeError("GIF is cut off")
+    a = np.frombuffer(pixels, np.uint8, w * h).reshape(h, w)
+    if own & 0x40:  # every eighth row, then those between, twice as many each time
+        order = [r for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for r in range(first, h, step)]
+        a = a[np.argsort(order)]
+    if int(a.max(initial=0)) >= len(palette):
+        raise DecodeError("bad GIF palette")
+    whole = np.zeros((max(high, y + h), max(wide, x + w), 4), np.uint8)
+    whole[y : y + h, x : x + w, :3] = palette[a]
+    whole[y : y + h, x : x + w, 3] = 255 if clear is None else np.where(a == clear, 0, 255)
+    return whole if (whole[..., 3] == 0).any() else whole[..., :3].copy()
+
+
 # -- any -------------------------------------------------------------------------
 
 
@@ -178,6 +285,10 @@ def read_image(data: bytes) -> np.ndarray:
         return read_pnm(data)
     if data[:2] == b"BM":
         return read_bmp(data)
+    if data[:3] == b"\xff\xd8\xff":
+        return read_jpeg(data)
+    if data[:4] == b"GIF8":
+        return read_gif(data)
     raise Unsupported("image format")
 
 
@@ -213,7 +324,7 @@ def from_value(a: np.ndarray) -> np.ndarray:
 
 def write_image(a: np.ndarray, extension: str) -> bytes:
     pixels = from_value(np.asarray(a))
-    writers = {"png": write_png, "ppm": write_pnm, "pgm": write_pnm, "pnm": write_pnm, "bmp": write_bmp}
+    writers = {"png": write_png, "ppm": write_pnm, "pgm": write_pnm, "pnm": write_pnm, "bmp": write_bmp, "jpg": write_jpeg, "jpeg": write_jpeg}
     if extension not in writers:
         raise Unsupported(f"writing .{extension} images")
     return writers[extension](pixels)
