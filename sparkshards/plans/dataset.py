@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.errors import OnError, ValueProblem
@@ -29,6 +29,10 @@ from ..sources.shards import read_shards, write_shards
 from ..sources.tario import Selection
 
 
+#: Most shards whose counts are broadcast (24 bytes each); samples of more are ranked by a sort.
+MAX_COUNTS = 500_000
+
+
 @dataclass(frozen=True)
 class ShardDataset:
     df: DataFrame
@@ -38,6 +42,10 @@ class ShardDataset:
     length: int | None = None
     seed: int = 0
     epoch: int = 0
+    #: Rows of each shard of whole samples, planned but not run: position and shard then give the rank.
+    counts: DataFrame | None = None
+    #: A column that has the rank in order.
+    rank: str | None = None
     notes: dict[str, Any] = field(default_factory=dict)
 
     # -- sources ---------------------------------------------------------------
@@ -72,16 +80,43 @@ class ShardDataset:
             shards = shardlists.resampled(shards, resampled, seed, epoch, worker)
         elif shardshuffle:
             shards = shardlists.shuffled(shards, seed, epoch)
-        raw = read_shards(shards, opener, Selection(select_files, rename_files), lowercase, handler, fields, limit)
-        out = cls(raw, seed=seed, epoch=epoch, stages=(("read", "D"),))
+        options = dict(opener=opener, selection=Selection(select_files, rename_files), lowercase=lowercase, policy=handler, limit=limit)
+        raw = read_shards(shards, fields=fields, **options)
+        # headers only; run when some later stage needs ranks.  They are broadcast, a row a shard
+        counts = read_shards(shards, fields=[], **options).groupBy(SHARD_ORD).agg(F.count(F.lit(1)).alias("__n")) if shards.count() <= MAX_COUNTS else None
+        out = cls(raw, seed=seed, epoch=epoch, stages=(("read", "D"),), counts=counts)
         return out.non_empty() if empty_check else out
 
     @classmethod
     def from_frame(cls, df: DataFrame, order_by: list[str], key: str, seed: int = 0) -> ShardDataset:
         return cls(df, tuple(order_by), key, (("frame", "B"),), seed=seed)
 
-    def _next(self, name: str, kind: str, df: DataFrame, order_by: tuple[str, ...] | None = None) -> ShardDataset:
-        return replace(self, df=df, order_by=self.order_by if order_by is None else order_by, stages=(*self.stages, (name, kind)), length=None)
+    def _next(self, name: str, kind: str, df: DataFrame, order_by: tuple[str, ...] | None = None, rank: str | None = None, whole: bool = False, total: bool = False) -> ShardDataset:
+        """``whole``: the stage keeps all rows and their order; ``rank``: a column that has the new rank; ``total``: the number of rows is known still."""
+        if not whole and not total:
+            df = df.drop(_order.TOTAL)
+        kept = dict(counts=self.counts, rank=self.rank if self.rank is None or self.rank in df.columns else None) if whole else dict(counts=None, rank=rank)
+        return replace(self, df=df, order_by=self.order_by if order_by is None else order_by, stages=(*self.stages, (name, kind)), length=None, **kept)
+
+    def _ranked(self) -> tuple[DataFrame, str | None]:
+        """The frame, and the column that has the rank, if it is known without a sort."""
+        if self.rank is not None:
+            return self.df, self.rank
+        if self.counts is None or not {SHARD_ORD, POS} <= set(self.df.columns):
+            return self.df, None
+        every = Window.orderBy("__ord")  # one row a shard
+        before, all_of = every.rowsBetween(Window.unboundedPreceding, -1), every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        held = self.counts.withColumnRenamed(SHARD_ORD, "__ord")
+        firsts = held.select("__ord", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"), F.sum("__n").over(all_of).alias(_order.TOTAL))
+        found = self.df.join(F.broadcast(firsts), F.col(SHARD_ORD) == F.col("__ord"))
+        return found.withColumn(_order.RANK, (F.col("__first") + F.col(POS)).cast("long")).drop("__ord", "__first"), _order.RANK
+
+    def _ordered(self, name: str, kind: str, made: Callable[[DataFrame, str | None], DataFrame], order_by: tuple[str, ...] | None, rank: str | None = None, total: bool = False) -> ShardDataset:
+        """The next dataset by an operator over the ranked frame; ``total``: its number of rows is still known, where it was."""
+        df, known = self._ranked()
+        out = made(df, known)
+        out = out.drop(_order.RANK)
+        return self._next(name, kind, out, order_by, rank, total=total)
 
     @property
     def _by(self) -> list[str]:
@@ -97,51 +132,60 @@ class ShardDataset:
 
     def project(self, *names: str) -> ShardDataset:
         """Named columns of raw samples."""
-        return self._next("project", "B", _transform.project_raw(self.df, list(names)))
+        return self._next("project", "B", _transform.project_raw(self.df, list(names)), whole=True)
 
-    def decode(self, image_spec: str | None = None, only: list[str] | None = None, partial: bool = True, handlers: dict | None = None) -> ShardDataset:
-        return self._next("decode", "A", _decode.decode(self.df, image_spec, only, partial, handlers))
+    def decode(self, image_spec: str | None = None, only: list[str] | None = None, partial: bool = True, handlers: dict | None = None, handler: OnError | str = OnError.RAISE, pre: list | None = None, post: list | None = None) -> ShardDataset:
+        """``handler``: what becomes of samples that can't be decoded."""
+        made = _decode.decode(self.df, image_spec, only, partial, handlers, handler, self._by, pre, post)
+        return self._next("decode", "A", made, whole=OnError(handler) is OnError.RAISE)
 
-    def select(self, predicate: Any) -> ShardDataset:
-        return self._next("select", "B" if isinstance(predicate, (Column, str)) else "A", _transform.select(self.df, predicate))
+    def xdecode(self, *patterns: str, **options: Any) -> ShardDataset:
+        """The same; patterns have no effect."""
+        return self.decode(**options)
 
-    def map(self, f: Callable, schema: str | None = None) -> ShardDataset:
-        return self._next("map", "A", _transform.map_sample(self.df, f, schema))
+    def select(self, predicate: Any, handler: OnError | str = OnError.RAISE) -> ShardDataset:
+        return self._next("select", "B" if isinstance(predicate, (Column, str)) else "A", _transform.select(self.df, predicate, handler, self._by))
+
+    def map(self, f: Callable, schema: str | None = None, handler: OnError | str = OnError.RAISE) -> ShardDataset:
+        """``handler``: what becomes of samples for which f fails."""
+        return self._next("map", "A", _transform.map_sample(self.df, f, schema, handler, self._by))
 
     def map_field(self, name: str, f: Callable[[Column], Column]) -> ShardDataset:
-        return self._next("map_field", "B", _transform.map_field(self.df, name, f))
+        return self._next("map_field", "B", _transform.map_field(self.df, name, f), whole=True)
 
     def map_dict(self, **fs: Callable[[Column], Column]) -> ShardDataset:
-        return self._next("map_dict", "B", _transform.map_dict(self.df, **fs))
+        return self._next("map_dict", "B", _transform.map_dict(self.df, **fs), whole=True)
 
-    def to_tuple(self, *specs: str, missing_is_error: bool = True) -> ShardDataset:
-        return self._next("to_tuple", "B", _transform.to_tuple(self.df, *specs, missing_is_error=missing_is_error, keep=self._by))
+    def to_tuple(self, *specs: str, missing_is_error: bool = True, handler: OnError | str = OnError.RAISE) -> ShardDataset:
+        made = _transform.to_tuple(self.df, *specs, missing_is_error=missing_is_error, keep=self._by, handler=handler if missing_is_error else OnError.RAISE)
+        return self._next("to_tuple", "B", made, whole=OnError(handler) is OnError.RAISE)
 
     def map_tuple(self, *fs: Callable[[Column], Column] | None) -> ShardDataset:
-        return self._next("map_tuple", "B", _transform.map_tuple(self.df, *fs))
+        return self._next("map_tuple", "B", _transform.map_tuple(self.df, *fs), whole=True)
 
     def extract_keys(self, *patterns: str, **options: bool) -> ShardDataset:
-        return self._next("extract_keys", "B", _transform.extract_keys(self.df, *patterns, keep=self._by, **options))
+        return self._next("extract_keys", "B", _transform.extract_keys(self.df, *patterns, keep=self._by, **options), whole=True)
 
-    def rename(self, keep: bool = True, **targets: str) -> ShardDataset:
-        return self._next("rename", "B", _transform.rename(self.df, keep, **targets))
+    def rename(self, keep: bool = True, handler: OnError | str = OnError.RAISE, **targets: str) -> ShardDataset:
+        made = _transform.rename(self.df, keep, handler, self._by, **targets)
+        return self._next("rename", "B", made, whole=OnError(handler) is OnError.RAISE)
 
     def rename_keys(self, **patterns: Any) -> ShardDataset:
         return self._next("rename_keys", "B", _transform.rename_keys(self.df, **patterns))
 
     def associate(self, lookup: DataFrame, lookup_key: str | None = None) -> ShardDataset:
-        return self._next("associate", "B", _transform.associate(self.df, lookup, self.key, lookup_key))
+        return self._next("associate", "B", _transform.associate(self.df, lookup, self.key, lookup_key), whole=True)
 
     # -- order -----------------------------------------------------------------
 
     def slice(self, *args: int | None) -> ShardDataset:
-        return self._next("slice", "B", _order.slice_args(self.df, self._by, *args))
+        return self._ordered("slice", "B", lambda df, r: _order.slice_args(df, self._by, *args, rank=r, name="__sliced__"), ("__sliced__",), "__sliced__", True)
 
     def sliced(self, start: int, count: int | None = None, step: int = 1) -> ShardDataset:
-        return self._next("sliced", "B", _order.slice_rows(self.df, self._by, start, count, step))
+        return self._ordered("sliced", "B", lambda df, r: _order.slice_rows(df, self._by, start, count, step, r, "__sliced__"), ("__sliced__",), "__sliced__", True)
 
     def take(self, n: int) -> ShardDataset:
-        return self._next("take", "B", _order.take(self.df, self._by, n))
+        return self._ordered("take", "B", lambda df, r: _order.take(df, self._by, n, r, "__sliced__"), ("__sliced__",), "__sliced__", True)
 
     def rsample(self, p: float, seed: int | None = None) -> ShardDataset:
         return self._next("rsample", "B", _sampling.random_subsample(self.df, p, self.seed if seed is None else seed, self.key))
@@ -151,19 +195,26 @@ class ShardDataset:
         seed = self.seed if seed is None else seed
         if bufsize is None:
             out = _sampling.shuffle_order(self.df, seed, self.key, self.epoch, name="__shuffled__")
-        else:
-            out = _sampling.shuffle_buffered(self.df, self._by, bufsize, seed, initial).withColumnRenamed("rn", "__shuffled__")
-        return self._next("shuffle", "B", out, ("__shuffled__",))
-
-    def repeat(self, epochs: int) -> ShardDataset:
-        return self._next("repeat", "B", _order.repeat(self.df, epochs), ("epoch", *self.order_by))
+            return self._next("shuffle", "B", out, ("__shuffled__",), "__shuffled__")
+        made = lambda df, r: _sampling.shuffle_buffered(df, self._by, bufsize, seed, initial, r).drop("__shuffled__").withColumnRenamed("rn", "__shuffled__")
+        return self._ordered("shuffle", "A", made, ("__shuffled__",), "__shuffled__", True)
+
+    def repeat(self, epochs: int | None = None, nbatches: int | None = None, nsamples: int | None = None) -> ShardDataset:
+        """So many epochs; with a limit on rows, whichever ends first."""
+        limit = min((n for n in (nbatches, nsamples) if n is not None), default=None)
+        if limit is None:
+            if epochs is None:
+                raise ValueProblem("an endless repetition needs a limit")
+            return self._next("repeat", "B", _order.repeat(self.df, epochs), ("epoch", *self.order_by))
+        out = self.with_epoch(limit)
+        return out if epochs is None else out._next("repeat", "B", out.df.where(F.col("epoch") < epochs), ("rn",), "rn")
 
     def with_epoch(self, n: int, resume: bool = False) -> ShardDataset:
         """n samples; with ``resume`` an epoch goes on where the one before it stopped."""
-        return self._next("with_epoch", "B", _order.with_epoch(self.df, self._by, n, self.epoch * n if resume else 0), ("rn",))
+        return self._ordered("with_epoch", "B", lambda df, r: _order.with_epoch(df, self._by, n, self.epoch * n if resume else 0, r), ("rn",), "rn")
 
     def resampled(self, n: int, seed: int | None = None) -> ShardDataset:
-        return self._next("resampled", "B", _sampling.resample(self.df, self._by, n, self.seed if seed is None else seed, self.epoch), ("draw",))
+        return self._ordered("resampled", "B", lambda df, r: _sampling.resample(df, self._by, n, self.seed if seed is None else seed, self.epoch, r), ("draw",), "draw")
 
     def with_length(self, n: int) -> ShardDataset:
         return replace(self, length=n)
@@ -174,18 +225,19 @@ class ShardDataset:
         return self.length
 
     def non_empty(self, message: str = "no samples") -> ShardDataset:
-        return self._next("non_empty", "B", _order.check_not_empty(self.df, message))
+        return self._next("non_empty", "B", _order.check_not_empty(self.df, message), whole=True)
 
     def cached(self) -> ShardDataset:
-        return self._next("cached", "B", self.df.persist())
+        return self._next("cached", "B", self.df.persist(), whole=True)
 
     # -- batches, mixes ----------------------------------------------------------
 
     def listed(self, size: int, partial: bool = True) -> ShardDataset:
-        return self._next("listed", "B", _batch.listed(self.df, self._by, size, partial), (_batch.BATCH,))
+        return self._ordered("listed", "B", lambda df, r: _batch.listed(df, self._by, size, partial, r), (_batch.BATCH,), _batch.BATCH)
 
-    def batched(self, size: int, partial: bool = True, collation: Callable | None = None, schema: str | None = None) -> ShardDataset:
-        return self._next("batched", "A" if collation else "B", _batch.batched(self.df, self._by, size, partial, collation, schema), (_batch.BATCH,))
+    def batched(self, size: int, partial: bool = True, collation: Callable | None = None, schema: str | None = None, combine_scalars: bool = True, combine_tensors: bool = True) -> ShardDataset:
+        made = lambda df, r: _batch.batched(df, self._by, size, partial, collation, schema, combine_scalars, combine_tensors, r)
+        return self._ordered("batched", "A" if collation else "B", made, (_batch.BATCH,), None if collation else _batch.BATCH)
 
     def unbatched(self, columns: list[str] | None = None) -> ShardDataset:
         return self._next("unbatched", "B", _batch.unbatched(self.df, columns), (_batch.BATCH, "pos"))
@@ -193,17 +245,22 @@ class ShardDataset:
     def unlisted(self) -> ShardDataset:
         return self._next("unlisted", "B", _batch.unlisted(self.df))
 
+    def _source(self) -> _mix.Source:
+        df, rank = self._ranked()
+        df = df.drop(_order.TOTAL)
+        return (df.withColumnRenamed(_order.RANK, "__rn__"), self._by, "__rn__") if rank == _order.RANK else (df, self._by, rank)
+
     @staticmethod
     def concat(*datasets: ShardDataset) -> ShardDataset:
-        return datasets[0]._next("concat", "B", _mix.concat([(d.df, d._by) for d in datasets]), ("source", "rn"))
+        return datasets[0]._next("concat", "B", _mix.concat([d._source() for d in datasets]), ("source", "rn"))
 
     @staticmethod
     def round_robin(*datasets: ShardDataset, longest: bool = False) -> ShardDataset:
-        return datasets[0]._next("round_robin", "B", _mix.round_robin([(d.df, d._by) for d in datasets], longest), ("rn", "source"))
+        return datasets[0]._next("round_robin", "B", _mix.round_robin([d._source() for d in datasets], longest), ("rn", "source"))
 
     @staticmethod
     def random_mix(*datasets: ShardDataset, weights: list[float] | None = None, longest: bool = False, seed: int = 0) -> ShardDataset:
-        return datasets[0]._next("random_mix", "B", _mix.random_mix([(d.df, d._by) for d in datasets], weights, seed, longest), ("draw",))
+        return datasets[0]._next("random_mix", "B", _mix.random_mix([d._source() for d in datasets], weights, seed, longest), ("draw",))
 
     # -- results -----------------------------------------------------------------
 
@@ -220,18 +277,17 @@ class ShardDataset:
 
     def write(self, folder: str, pattern: str = "shard-%06d.tar", max_count: int = 100_000, max_size: int | None = None, **options: Any) -> DataFrame:
         """Encodes typed samples (raw ones are ready) and writes shards; returns their manifest."""
-        df, by = self.df, self._by
+        df, rank = self._ranked()
+        df = _order.with_rank(df, self._by, "__at__", rank=rank).drop(*_order.HIDDEN)
         if "fields" not in df.columns:
-            names = [c for c in df.columns if not is_meta(c) and c not in by]
-            df = _order.with_rank(df, by, "__at__")
-            df, by = _decode.encode(df.withColumnRenamed(self.key, KEY) if self.key != KEY else df, [n for n in names if n != self.key]), ["__at__"]
-        else:
-            df, by = _order.with_rank(df, by, "__at__"), ["__at__"]
+            names = [c for c in df.columns if not is_meta(c) and c not in self._by and c != self.key]
+            df = _decode.encode(df.withColumnRenamed(self.key, KEY) if self.key != KEY else df, names)
+        by = ["__at__"]
         if max_size is None:
             placed = df.withColumn("shard", F.floor(F.col("__at__") / max_count).cast("long"))
         else:
             size = F.aggregate(F.map_values("fields"), F.lit(0).cast("long"), lambda a, v: a + F.octet_length(v))
-            placed = _batch.shard_by_size(df, by, size, max_size, max_count)
+            placed = _batch.shard_by_size(df, by, size, max_size, max_count, rank="__at__")
         return write_shards(placed, folder, pattern, order_by=by, **options)
 
     def trace(self, label: str = "sample", first: int = 3, every: int | None = None) -> ShardDataset:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..functions.errors import ValueProblem
 from ..functions.tensors import array_to_tensor, tensor_to_array
 from ..operators import batch, decode, mix, order, sampling, stats, transform
 from ..sources import shardlists, shards
@@ -338,11 +339,15 @@ def shard_assign_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _by_lang(spark: SparkSession, sf_dir: str) -> list[mix.Source]:
+    """Documents by language; the last source has all others, and those without one."""
     docs = _docs(spark, sf_dir, "doc_id", "lang")
-    return [(docs.where(F.col("lang") == x).select("doc_id"), ["doc_id"]) for x in ("de", "en", "es", "fr")]
+    known = ("de", "en", "es")
+    parts = [F.col("lang") == x for x in known] + [F.col("lang").isNull() | ~F.col("lang").isin(*known)]
+    return [(docs.where(p).select("doc_id"), ["doc_id"]) for p in parts]
 
 
-_LANGS = """(select doc_id, case lang when 'de' then 0 when 'en' then 1 when 'es' then 2 else 3 end as source, row_number() over (partition by lang order by doc_id) - 1 as rn from documents)"""
+_LANGS = """(select doc_id, source, row_number() over (partition by source order by doc_id) - 1 as rn
+    from (select doc_id, case lang when 'de' then 0 when 'en' then 1 when 'es' then 2 else 3 end as source from documents))"""
 
 
 @_query(f"""with a as {_LANGS}, l as (select source, count(*) as n from a group by 1), c as (select n, source from l order by n, source limit 1)
@@ -352,17 +357,28 @@ def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.round_robin(_by_lang(spark, sf_dir))
 
 
+@_query("""with a as (select 0 as source, n_nationkey as k, row_number() over (order by n_nationkey) - 1 as rn from nation
+    union all select 1, r_regionkey, row_number() over (order by r_regionkey) - 1 from region
+    union all select 2, s_suppkey, row_number() over (order by s_suppkey) - 1 from supplier where s_suppkey < 8),
+    l as (select source, count(*) as n from a group by 1), c as (select n, source from l order by n, source limit 1)
+    select a.k::bigint as k, a.source::bigint as source, a.rn from a, c where a.rn < c.n or (a.rn = c.n and a.source < c.source)""")
+def round_robin_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MX2 where a source in the middle is dry first."""
+    parts = (("nation", "n_nationkey", "true"), ("region", "r_regionkey", "true"), ("supplier", "s_suppkey", "s_suppkey < 8"))
+    return mix.round_robin([(_t(spark, sf_dir, t).where(w).select(F.col(c).cast("long").alias("k")), ["k"]) for t, c, w in parts])
+
+
 @_query(f"select doc_id, source::bigint as source, rn from {_LANGS}")
 def round_robin_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MX2 to the end of the longest."""
     return mix.round_robin(_by_lang(spark, sf_dir), longest=True)
 
 
-@_query(f"""with a as {_LANGS},
-    d as (select range as draw, ('0x' || substr(md5('21:' || range), 1, 8))::bigint as h from range(200000)),
+@_query(f"""with a as materialized (select * from {_LANGS}), l as materialized (select source, count(*) as n from a group by 1),
+    d as (select range as draw, ('0x' || substr(md5('21:' || range), 1, 8))::bigint as h from range((select count(*) + 1 from documents))),
     s as (select draw, case when h < (4294967296 * 0.1)::bigint then 0 when h < (4294967296 * 0.6)::bigint then 1 when h < (4294967296 * 0.8)::bigint then 2 else 3 end as source from d),
-    k as (select draw, source, row_number() over (partition by source order by draw) - 1 as rn from s),
-    e as (select min(draw) as stop from k left join (select source, count(*) as n from a group by 1) l using (source) where k.rn >= l.n)
+    k as materialized (select draw, source, row_number() over (partition by source order by draw) - 1 as rn from s),
+    e as materialized (select min(draw) as stop from k left join l using (source) where k.rn >= coalesce(l.n, 0))
     select a.doc_id, k.draw, a.source::bigint as source, a.rn from k join a using (source, rn), e where k.draw < e.stop""")
 def random_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MX3 with weights 1, 5, 2, 2."""
@@ -435,6 +451,118 @@ def tensor_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("vec_id", F.round(F.aggregate("a", F.lit(0.0), lambda s, x: s + x), 3).alias("total"), F.size("a").cast("long").alias("n"))
 
 
+_TOTAL = "select vec_id, round(list_sum(list_transform(embedding, lambda x: x::double)), 3) as total, len(embedding)::bigint as n from embeddings"
+
+
+def _through(spark: SparkSession, sf_dir: str, name: str, pack: Callable, unpack: Callable) -> DataFrame:
+    """Embeddings as tensors, through a field's bytes and back; their sums and lengths."""
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", pack(array_to_tensor("embedding")).alias(name))
+    back = decode.decode(rows.withColumn(name, decode.encode_column(F.col(name), name, rows.schema[name].dataType)))
+    flat = back.select("vec_id", tensor_to_array(unpack(F.col(name))).alias("a"))
+    return flat.select("vec_id", F.round(F.aggregate("a", F.lit(0.0), lambda s, x: s + x), 3).alias("total"), F.size("a").cast("long").alias("n"))
+
+
+@_query(_TOTAL)
+def npy_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EN5, DC8."""
+    return _through(spark, sf_dir, "npy", lambda t: t, lambda t: t)
+
+
+@_query(_TOTAL)
+def npz_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EN6, DC9: a map of tensors as an archive."""
+    return _through(spark, sf_dir, "npz", lambda t: F.create_map(F.lit("x"), t), lambda m: F.element_at(m, "x"))
+
+
+@_query(_TOTAL)
+def tenbin_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EN6, DC10: a list of tensors."""
+    return _through(spark, sf_dir, "ten", lambda t: F.array(t, t), lambda a: F.get(a, F.lit(1)))
+
+
+def _props(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "events").select("event_id", F.parse_json("props").alias("v"))
+    packed = rows.select("event_id", decode.encode_column(F.col("v"), name, rows.schema["v"].dataType).alias(name))
+    back = decode.decode(packed, only=[name])
+    return back.select("event_id", F.variant_get(transform.quoted(name), "$.k", "bigint").alias("k"))
+
+
+@_query("select event_id, (props->>'$.k')::bigint as k from events")
+def msgpack_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EN6, DC11."""
+    return _props(spark, sf_dir, "msgpack")
+
+
+@_query("select event_id, (props->>'$.k')::bigint as k from events")
+def cbor_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EN6, DC12, and DC14: gzipped besides."""
+    return _props(spark, sf_dir, "cbor.gz")
+
+
+@_query("select doc_id, text as body, length(text)::bigint as n from documents")
+def gzip_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DC14, DC5: text behind a second extension."""
+    rows = _docs(spark, sf_dir, "doc_id", "text")
+    packed = rows.select("doc_id", decode.encode_column(F.col("text"), "txt.gz", rows.schema["text"].dataType).alias("txt.gz"))
+    return decode.decode(packed).select("doc_id", F.col("`txt.gz`").alias("body"), F.length("`txt.gz`").cast("long").alias("n"))
+
+
+def _flat_images(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A picture of 8 x 8 equal pixels for each nation, written and read."""
+    one = lambda c: F.lpad(F.hex(c), 2, "0")
+    grey = F.col("n_nationkey").cast("long") * 10
+    pixel = one(grey) if name == "jpg" else F.concat(one(grey), one(F.col("n_regionkey").cast("long") * 50), one(F.lit(255).cast("long")))
+    shape = F.array(F.lit(8), F.lit(8)) if name == "jpg" else F.array(F.lit(8), F.lit(8), F.lit(3))
+    tensor = F.struct(F.lit("uint8").alias("dtype"), shape.alias("shape"), F.unhex(F.repeat(pixel, 64)).alias("data")).cast(decode.TENSOR)
+    rows = _t(spark, sf_dir, "nation").select("n_nationkey", tensor.alias(name))
+    packed = rows.select("n_nationkey", decode.encode_column(F.col(name), name, rows.schema[name].dataType).alias(name))
+    back = decode.decode(packed, "rgb8", only=[name]).select("n_nationkey", F.col(name)["shape"].alias("shape"), tensor_to_array(name).alias("a"))
+    return back.select("n_nationkey", F.array_join("shape", "x").alias("shape"), F.aggregate("a", F.lit(0.0), lambda s, x: s + x).cast("long").alias("total"))
+
+
+@_query("select n_nationkey, '8x8x3' as shape, (64 * (n_nationkey::bigint * 10 + n_regionkey::bigint * 50 + 255))::bigint as total from nation")
+def png_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EN7, DC16 to DC18."""
+    return _flat_images(spark, sf_dir, "png")
+
+
+@_query("select n_nationkey, '8x8x3' as shape, (192 * n_nationkey::bigint * 10)::bigint as total from nation")
+def jpeg_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EN7, DC16: a grey JPEG read as RGB; equal pixels come back exactly."""
+    return _flat_images(spark, sf_dir, "jpg")
+
+
+def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as class fields, some of which are no integers."""
+    rows = _t(spark, sf_dir, "labels").where("quality is not null")
+    return rows.select("doc_id", F.when(F.col("doc_id") % 97 == 50, F.lit("x1")).otherwise(F.col("quality").cast("string")).cast("binary").alias("cls"))
+
+
+@_query("select doc_id, quality::bigint as cls from labels where quality is not null and doc_id % 97 <> 50")
+def decode_errors_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A handler that goes on: samples with a field that can't be decoded are left out."""
+    return decode.decode(_damaged(spark, sf_dir), handler="ignore_and_continue", order_by=["doc_id"])
+
+
+@_query("""select doc_id, quality::bigint as cls from labels where quality is not null
+    and doc_id < coalesce((select min(doc_id) from labels where quality is not null and doc_id % 97 = 50), 9223372036854775807)""")
+def decode_errors_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A handler that stops: nothing of the first such sample or after it is left."""
+    return decode.decode(_damaged(spark, sf_dir), handler="warn_and_stop", order_by=["doc_id"])
+
+
+@_query("select doc_id * 2 as doc_id, lang from documents where doc_id % 10 <> 3")
+def map_errors_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map that fails for some samples, with a handler that goes on."""
+
+    def twice(x):
+        if (x["doc_id"] % 10 == 3).any():
+            raise ValueError("three")
+        return x.assign(doc_id=x["doc_id"] * 2)
+
+    return transform.map_sample(_docs(spark, sf_dir, "doc_id", "lang"), twice, handler="ignore_and_continue", order_by=["doc_id"])
+
+
 # -- shards --------------------------------------------------------------------------
 
 
@@ -443,6 +571,8 @@ def _scratch(spark: SparkSession) -> str:
     import uuid
 
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not held and not spark.sparkContext.master.startswith("local"):
+        raise ValueProblem("spark.checkpoint.dir must name a folder that all executors share")
     return f"{held.rstrip('/')}/shards-{uuid.uuid4().hex}" if held else "file://" + tempfile.mkdtemp(prefix="shards-")
 
 
@@ -459,6 +589,29 @@ def roundtrip_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.df.select(F.col(names.KEY).alias("sample_key"), "txt", "cls", F.variant_get("json", "$.lang", "string").alias("lang"), F.variant_get("json", "$.source", "string").alias("source"))
 
 
+_SCANNED = "(select doc_id, n_chars, row_number() over (order by substr(source, 4)::bigint, lpad(doc_id::varchar, 9, '0')) - 1 as rn from documents)"
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> ShardDataset:
+    manifest = _written(spark, sf_dir, "part-%03d.tar").select(F.col("shard").alias(names.SHARD_ORD), "url")
+    return ShardDataset.from_shards(spark, manifest, nodesplit="none").project("txt").decode()
+
+
+@_query(f"select rn // 64 as batch_id, string_agg(lpad(doc_id::varchar, 9, '0'), ',' order by rn) as keys, sum(n_chars)::bigint as total from {_SCANNED} group by 1")
+def scan_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches in the order of shards and positions, whose ranks need no sort."""
+    out = _scanned(spark, sf_dir).batched(64).df
+    return out.select("batch_id", F.array_join(names.KEY, ",").alias("keys"), F.aggregate("txt", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("total"))
+
+
+@_query(f"""select row_number() over (order by place, rn) - 1 as rn, lpad(doc_id::varchar, 9, '0') as sample_key
+    from (select doc_id, rn, rn + ('0x' || substr(md5('4:' || rn), 1, 8))::bigint % 200 as place from {_SCANNED})""")
+def scan_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A buffered shuffle of scanned samples."""
+    out = _scanned(spark, sf_dir).shuffle(200, seed=4)
+    return out.df.select(F.col(out.rank).alias("rn"), F.col(names.KEY).alias("sample_key"))
+
+
 @_query("select source, count(*) as samples, sum(octet_length(encode(text)))::bigint as txt_bytes from documents group by 1")
 def shard_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: a shard list scanned, samples counted by shard."""

@@ -95,6 +95,128 @@ def test_errors_and_policies(spark, folder, tmp_path):
         settle(rows, "reraise_exception", ["id"]).collect()
 
 
+def test_a_stop_policy_ends_the_stream(spark, tmp_path):
+    """Three archives of 50, the second cut off after 10: what a reader of one after another would give."""
+    for s in range(3):
+        write_tar(tmp_path / f"s{s}.tar", [(f"k{s}{i:02d}", {"txt": f"{s} {i}"}) for i in range(50)])
+    whole = (tmp_path / "s1.tar").read_bytes()
+    (tmp_path / "s1.tar").write_bytes(whole[: 10 * 1024 + 600])
+    urls = [str(tmp_path / f"s{s}.tar") for s in range(3)]
+    counts = lambda handler: {r[0]: r[1] for r in ShardDataset.from_shards(spark, urls, handler=handler).df.groupBy(SHARD_ORD).count().collect()}
+    assert counts("ignore_and_stop") == counts("warn_and_stop") == {0: 50, 1: 10}
+    assert counts("ignore_and_continue") == counts("warn_and_continue") == {0: 50, 1: 10, 2: 50}
+    batches = ShardDataset.from_shards(spark, urls, handler="ignore_and_stop").project("txt").decode().batched(40)
+    assert sorted(len(r["txt"]) for r in batches.df.collect()) == [20, 40]
+
+
+def test_archives_are_opened_twice_at_most(spark, tmp_path):
+    """Once for counts and once for data, and not at all while stages are put together."""
+    for s in range(4):
+        write_tar(tmp_path / f"s{s}.tar", [(f"k{s}{i:02d}", {"txt": f"{s} {i}"}) for i in range(30)])
+    log = tmp_path / "log"
+
+    def noted(url, mode):
+        with open(log, "a") as f:
+            f.write(url + "\n")
+        return open(url.removeprefix("noted:"), "rb")
+
+    opener = Opener(handlers={"noted": noted})
+    opened = lambda: len(log.read_text().splitlines()) if log.exists() else 0
+    raw = ShardDataset.from_shards(spark, [f"noted:{tmp_path}/s{s}.tar" for s in range(4)], opener=opener)
+    typed = raw.project("txt").decode()
+    made = {
+        "plain": typed, "batched": typed.batched(8), "shuffled": typed.shuffle(20), "both": typed.shuffle(20).batched(8), "sliced": typed.slice(5, 100, 2).shuffle(20).batched(8),
+        "epoch": typed.with_epoch(200).batched(8), "mixed": ShardDataset.round_robin(typed.take(10), typed.slice(20, 60), longest=True),
+    }
+    assert opened() == 0
+    for name, data in made.items():
+        log.unlink(missing_ok=True)
+        data.df.collect()
+        assert opened() <= {"plain": 4, "mixed": 16}.get(name, 8), name
+    keys = [f"k{s}{i:02d}" for s in range(4) for i in range(30)]
+    got = [k for r in made["sliced"].ordered().collect() for k in r[KEY]]
+    assert sorted(got) == keys[5:100:2] and got != keys[5:100:2]
+    assert [k for r in made["batched"].ordered().collect() for k in r[KEY]] == keys
+    assert [k for r in made["epoch"].ordered().collect() for k in r[KEY]] == (keys * 2)[:200]
+    assert [r[KEY] for r in made["mixed"].ordered().collect()] == [k for pair in zip(keys[:10], keys[20:30]) for k in pair] + keys[30:60]
+
+
+def test_buffered_shuffle_is_that_of_all_places(spark):
+    import hashlib
+
+    for n, size, initial in ((101, 7, None), (40, 100, None), (60, 10, 3), (1, 5, None), (0, 5, None)):
+        got = {r["id"]: r["rn"] for r in sampling.shuffle_buffered(numbers(spark, n), ["id"], size, 9, initial).collect()}
+        spread = max(1, min(initial or size, size))
+        place = lambda i: i + int(hashlib.md5(b"9:%d" % i).hexdigest()[:8], 16) % spread
+        want = sorted(range(n), key=lambda i: (place(i), i))
+        assert got == {i: rn for rn, i in enumerate(want)}
+
+
+def test_rank_of_a_hot_key(spark):
+    rows = spark.range(2000).select(F.col("id"), F.when(F.col("id") < 1800, F.lit(7)).otherwise(F.col("id") % 100).alias("k")).repartition(5)
+    ranked = order.with_rank(rows, ["k"]).collect()
+    assert sorted(r["rn"] for r in ranked) == list(range(2000))
+    held = [r["k"] for r in sorted(ranked, key=lambda r: r["rn"])]
+    assert held == sorted(held)
+    assert order.with_rank(rows, ["k"]).select(F.spark_partition_id().alias("p")).groupBy("p").count().agg(F.max("count")).first()[0] < 1500
+
+
+@pytest.mark.parametrize("block", [None, 1])
+def test_shards_by_size_equal_a_plain_loop(spark, block):
+    import random
+
+    rng = random.Random(5)
+    for n, most, count in ((500, 900, 7), (300, 50, 1), (200, 10**9, 9), (120, 1, 50), (77, 400, 100), (1, 5, 5), (0, 5, 5)):
+        sizes = [rng.choice([0, 1, 30, 100, 2000]) for _ in range(n)]
+        want, shard, rows, held = [], 0, 0, 0
+        for x in sizes:
+            if rows >= count or held >= most:
+                shard, rows, held = shard + 1, 0, 0
+            want.append(shard)
+            rows, held = rows + 1, held + x
+        df = spark.createDataFrame(list(enumerate(sizes)), "id long, n long").repartition(3)
+        got = {r["id"]: r["shard"] for r in batch.shard_by_size(df, ["id"], F.col("n"), most, count, block=block).collect()}
+        assert got == dict(enumerate(want)), (n, most, count)
+
+
+def test_handlers_of_samples(spark):
+    rows = [(0, b"1", b"a", b'{"k": 1}'), (1, b"x", b"b", b"{}"), (2, b"3", b"\xff", b"{}"), (3, b" +4 ", b"d", b"{"), (4, None, b"e", None), (5, b"6", b"f", b"null")]
+    df = spark.createDataFrame(rows, "id long, cls binary, txt binary, json binary").withColumn("npy", F.when(F.col("id") != 5, F.lit(tensors.write_npy(np.ones(2, "f4")))).otherwise(F.lit(b"none"))).repartition(3)
+    kept = lambda handler: sorted((r["id"], r["cls"]) for r in decode.decode(df, handler=handler, order_by=["id"]).select("id", "cls").collect())
+    assert kept("ignore_and_continue") == kept("warn_and_continue") == [(0, 1), (4, None)] and kept("ignore_and_stop") == [(0, 1)]
+    with pytest.raises(Exception):
+        decode.decode(df).collect()
+    assert decode.decode(df, handler="ignore_and_continue", order_by=["id"], only=["npy"]).count() == 5
+    upper = decode.decode(df.select("id", F.col("txt").alias("weird")), post=[lambda name, c: F.hex(c) if name == ".weird" else None]).orderBy("id").first()
+    assert upper["weird"] == "61"
+
+    def fails(x):
+        if (x["id"] == 3).any():
+            raise KeyError("three")
+        return x.assign(cls=x["id"].astype(str))
+
+    small = df.select("id", F.lit("k").alias(KEY), F.lit("").alias("cls"))
+    done = lambda handler: sorted(r["id"] for r in transform.map_sample(small, fails, handler=handler, order_by=["id"]).collect())
+    assert done("ignore_and_continue") == [0, 1, 2, 4, 5] and done("warn_and_stop") == [0, 1, 2]
+    with pytest.raises(Exception, match="three"):
+        transform.map_sample(small, fails).collect()
+    some = spark.createDataFrame([(i, "a" if i % 2 else None, "b" if i == 2 else None) for i in range(5)], "id long, a string, b string")
+    assert sorted(r["_0"] for r in transform.to_tuple(some, "a;b", keep=["id"], handler="ignore_and_continue").collect()) == ["a", "a", "b"]
+    assert sorted(r["id"] for r in transform.rename(some, handler="ignore_and_stop", order_by=["id"], c="a;b").collect()) == []
+    assert sorted(r["c"] for r in transform.rename(some, handler="ignore_and_continue", order_by=["id"], c="a;b").collect()) == ["a", "a", "b"]
+
+
+def test_repeat_with_limits_and_collation_switches(spark):
+    data = ShardDataset.from_frame(numbers(spark, 4), ["id"], "id")
+    assert [r["id"] for r in data.repeat(nsamples=10)] == [0, 1, 2, 3] * 2 + [0, 1]
+    assert [r["id"] for r in data.repeat(2, nbatches=10)] == [0, 1, 2, 3] * 2 and [r["id"] for r in data.repeat(2, nsamples=3)] == [0, 1, 2]
+    with pytest.raises(ValueProblem):
+        data.repeat()
+    typed = numbers(spark, 4).withColumn("b", F.col("id") > 1).withColumn("i", F.col("id").cast("int"))
+    plain = batch.batched(typed, ["id"], 4, combine_scalars=False)
+    assert dict(plain.dtypes)["b"] == "array<boolean>" and dict(plain.dtypes)["i"] == "array<int>" and plain.first()["b"] == [False, False, True, True]
+
+
 def test_names_as_columns(spark):
     found = ["a/b/c.seg.png", "a/b.c/d.png", "plain", ".hidden", "__index__", "__dup__/a.png", "dir/__index__", "__a__b__/x", "__x", "a\nb.c"]
     rows = spark.createDataFrame([(x,) for x in found], "n string").select("n", base_of(F.col("n")).alias("b"), ext_of(F.col("n")).alias("e"), is_shard_metadata_col(F.col("n")).alias("m"), F.rlike("n", F.lit(glob_to_regex("*.p?g"))).alias("g")).collect()
