@@ -1,8 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A paragraph is a non-empty line, cut further at sentence ends (blanks after a full
-stop, question or exclamation mark), so that texts of one line have parts too; its
-digest is a 64-bit hash, or 60 bits of an md5, which any engine can reproduce; a
+A paragraph is a non-empty line; one of over 512 characters is cut at its sentence ends
+(blanks after a full stop, question or exclamation mark), so that texts of one line
+have parts too; its digest is a 64-bit hash, or 60 bits of an md5, which any engine can reproduce; a
 text's key set is its distinct digests.  A sketch has three tables of cells.  A key
 falls into one cell of each table; a cell keeps the XOR of its keys and the sum of
 their marks, where a mark is 2**32 plus the key modulo a prime, so that a cell with a
@@ -33,7 +33,9 @@ from .common import cut, free_name, shuffle_partitions
 #: Cells in each of the three tables, for the fingerprint and for the retries.
 BASE = 8
 RETRIES = (4, 8, 32)
-#: Where a line is cut, and what marks are made of.
+#: Characters beyond which a line is cut at its sentence ends.
+LONG_LINE = 512
+#: What ends a sentence, and what marks are made of.
 SENTENCE_END, MARK_BASE, MARK_PRIME = "([.?!])[ \\\\t]+", 1 << 32, 2147483629
 #: Passes over the three tables; peeling stops earlier if three in a row find nothing.
 PASSES = 30
@@ -54,8 +56,10 @@ def _mark(key: str) -> str:
 
 
 def paragraphs(text: str) -> str:
-    """array<string>: the lines of a text, cut at sentence ends, without empty ones."""
-    return f"filter(split(regexp_replace(coalesce({text}, ''), '{SENTENCE_END}', '$1\n'), '\n'), x -> x != '')"
+    """array<string>: the lines of a text, long ones cut at sentence ends, without empty ones."""
+    pieces = f"split(regexp_replace(y, '{SENTENCE_END}', '$1\n'), '\n')"
+    lines = f"transform(split(coalesce({text}, ''), '\n'), y -> if(length(y) > {LONG_LINE}, {pieces}, array(y)))"
+    return f"filter(flatten({lines}), x -> x != '')"
 
 
 #: SQL of a paragraph's digest.
@@ -130,7 +134,9 @@ def _split(held: str, bits: str) -> str:
 def retry(a: str, b: str) -> str:
     """struct<a, b>: differing digests by a larger sketch."""
     bits = f"cast(greatest(1, ceil(log2((size({a}) + size({b})) / {KEYS_EACH}.0D))) as int)"
-    parts = _let(bits, "bits", f"zip_with({_split(a, 'bits')}, {_split(b, 'bits')}, (pa, pb) -> {_try_sizes('pa', 'pb', RETRIES)})")
+    # a part that only one side has, or that both have alike, needs no sketch
+    told = f"if(size(pa) = 0 or size(pb) = 0 or pa = pb, {_exact('pa', 'pb')}, {_try_sizes('pa', 'pb', RETRIES)})"
+    parts = _let(bits, "bits", f"zip_with({_split(a, 'bits')}, {_split(b, 'bits')}, (pa, pb) -> {told})")
     return _let(parts, "ps", "named_struct('a', flatten(transform(ps, x -> x.a)), 'b', flatten(transform(ps, x -> x.b)))")
 
 

@@ -106,7 +106,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard": op10_jaccard,
 }
 
-_PARAGRAPHS = f"""list_distinct(list_transform(list_filter(string_split(regexp_replace({{}}, '([.?!])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)), lambda x: x <> ''),
+_PARAGRAPHS = f"""list_distinct(list_transform(list_filter(flatten(list_transform(string_split({{}}, chr(10)),
+    lambda y: case when length(y) > {fingerprints.LONG_LINE} then string_split(regexp_replace(y, '([.?!])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)) else [y] end)), lambda x: x <> ''),
     lambda x: ('0x' || substr(md5(x), 1, 15))::bigint))"""
 _CELLS = f"""len({{0}}) || ':' || array_to_string(list_transform(list_transform(range(24), lambda c: list_filter({{0}}, lambda d: (d >> ((c // 8) * 3)::int) & 7 = c % 8)),
     lambda l: case when len(l) = 0 then '' else to_hex(list_aggregate(l, 'bit_xor')) || '.' || to_hex(list_sum(list_transform(l, lambda d: {fingerprints.MARK_BASE} + d % {fingerprints.MARK_PRIME}))::bigint) end), ',')"""
