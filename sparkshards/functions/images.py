@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 
 from .errors import DecodeError, EncodeError, Unsupported
-from .jpeg import read_jpeg, write_jpeg
+from .jpeg import read_jpeg, read_jpegs, write_jpeg
 
 #: Extensions that are images, and specs as (mode, element type, layout).
 EXTENSIONS = ["jpg", "jpeg", "png", "ppm", "pgm", "pbm", "pnm", "bmp", "gif", "tif", "tiff", "webp", "tga", "dds", "exr", "ff", "hdr", "ico", "qoi", "avif", "img", "image"]
@@ -292,6 +292,23 @@ def read_image(data: bytes) -> np.ndarray:
     raise Unsupported("image format")
 
 
+def read_images(datas: list[bytes | None]) -> list[np.ndarray | Exception | None]:
+    """Each picture, or what is wrong with it; JPEGs of one geometry are read together."""
+    out: list[np.ndarray | Exception | None] = [None] * len(datas)
+    together = [i for i, d in enumerate(datas) if d is not None and d[:3] == b"\xff\xd8\xff"]
+    for i, found in zip(together, read_jpegs([datas[i] for i in together])):
+        out[i] = found
+    for i, d in enumerate(datas):
+        if d is not None and out[i] is None:
+            try:
+                out[i] = read_image(d)
+            except (DecodeError, Unsupported) as e:
+                out[i] = e
+            except Exception as e:
+                out[i] = DecodeError(f"image: {e}")
+    return out
+
+
 def to_mode(a: np.ndarray, mode: str) -> np.ndarray:
     """Channels as the mode asks; grey has no channel axis."""
     rgb = np.repeat(a, 3, axis=2) if a.shape[2] == 1 else a[..., :3]

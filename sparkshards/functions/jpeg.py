@@ -1,8 +1,10 @@
 """JPEG in numpy: baseline and progressive decoding, baseline encoding.
 
-Entropy decoding walks the bits in plain Python, with tables of 16 bits that are kept
-for images that share them; everything else (dequantisation, the cosine transform,
-upsampling, colours) is done for all blocks of an image at once.
+Pictures of a batch that have one geometry are decoded in step: one symbol of each at a
+time, as vectors over the pictures.  Others (progressive ones, or with restarts) walk
+their bits in plain Python, with tables of 16 bits that are kept for pictures that share
+them.  Dequantisation, the cosine transform, upsampling and colours are done for all
+blocks of all pictures of a geometry at once.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from .errors import DecodeError, EncodeError, Unsupported
 # Marker codes.
 SOI, EOI, SOS, DQT, DHT, DRI, APP14 = 0xD8, 0xD9, 0xDA, 0xDB, 0xC4, 0xDD, 0xEE
 BASELINE, EXTENDED, PROGRESSIVE = 0xC0, 0xC1, 0xC2
-#: Largest picture, in pixels.
-MAX_PIXELS = 1 << 28
+#: Largest picture, in pixels; most pictures that are decoded in step, and their pixels.
+MAX_PIXELS, MAX_IN_STEP, PIXELS_IN_STEP = 1 << 28, 1024, 1 << 22
 
 
 @lru_cache(1)
@@ -104,6 +106,11 @@ class Plane:
     wide: int = 0
     high: int = 0
     held: list[list[int]] = field(default_factory=list)
+    #: Coefficients in stream order as an array (blocks, 64), where pictures are decoded in step.
+    array: np.ndarray | None = None
+
+    def coefficients(self) -> np.ndarray:
+        return np.array(self.held, np.int64) if self.array is None else self.array
 
 
 @dataclass
@@ -191,12 +198,14 @@ class Scan:
 
 
 class Decoder:
-    def __init__(self, data: bytes):
+    """Reads one picture up to its coefficients.  ``lazy``: a lone scan that could be decoded in step is left ``pending``."""
+
+    def __init__(self, data: bytes, lazy: bool = False):
         self.data, self.quant, self.codes, self.planes = data, {}, {}, []
         self.interval, self.adobe, self.width, self.height = 0, None, 0, 0
+        self.lazy, self.pending = lazy, None
 
-    def pixels(self) -> np.ndarray:
-        """(height, width, 1 or 3) uint8."""
+    def parse(self) -> None:
         data, at, seen = self.data, 2, False
         if data[:2] != b"\xff\xd8":
             raise DecodeError("not a JPEG")
@@ -236,7 +245,8 @@ class Decoder:
                 seen = True
         if not seen:
             raise DecodeError("JPEG without pixels")
-        return self._colours([self._upsample(p, self._samples(p)) for p in self.planes])
+        if any(p.table not in self.quant for p in self.planes):
+            raise DecodeError("JPEG without quantisers")
 
     def _quantisers(self, part: bytes) -> None:
         at = 0
@@ -254,7 +264,7 @@ class Decoder:
         while at + 17 <= len(part):
             counts = part[at + 1 : at + 17]
             symbols = part[at + 17 : at + 17 + sum(counts)]
-            self.codes[part[at]] = code_table(counts, symbols)
+            self.codes[part[at]] = (counts, symbols)
             at += 17 + sum(counts)
 
     def _frame(self, part: bytes, progressive: bool) -> None:
@@ -272,7 +282,15 @@ class Decoder:
         for p in self.planes:
             p.blocks_wide, p.blocks_high = self.units_wide * p.across, self.units_high * p.down
             p.wide, p.high = -(-self.width * p.across // self.across), -(-self.height * p.down // self.down)
-            p.held = [[0] * 64 for _ in range(p.blocks_wide * p.blocks_high)]
+
+    def _fill(self) -> None:
+        for p in self.planes:
+            p.held = p.held or [[0] * 64 for _ in range(p.blocks_wide * p.blocks_high)]
+
+    def signature(self) -> tuple:
+        """What pictures that are decoded in step have in common."""
+        plain = self.adobe == 0 or (self.adobe is None and bytes(p.ident for p in self.planes) == b"RGB")
+        return self.width, self.height, self.adobe, plain, tuple((p.across, p.down) for p in self.planes), self.pending is not None and tuple(self.planes.index(p) for p, _, _ in self.pending[1])
 
     def _scan(self, part: bytes, at: int) -> int:
         """Decodes the scan that begins there; the place after it."""
@@ -293,8 +311,24 @@ class Decoder:
                 lo = i + 2
             i += 2
         stretches.append(self.data[lo:end])
-        units = self._units([p for p, _, _ in chosen])
-        tables = [(p, self.codes.get(dc), self.codes.get(16 + ac)) for p, dc, ac in chosen]
+        if self.pending is not None:  # another scan after all
+            self.lazy, (stretch, tables) = False, self.pending
+            self.pending = None
+            self._walk([stretch], tables, (0, 63, 0))
+        table = lambda k: self.codes.get(k)
+        tables = [(p, table(dc), table(16 + ac)) for p, dc, ac in chosen]
+        if self.lazy and not self.progressive and len(stretches) == 1 and len(tables) == len(self.planes) and all(dc and ac for _, dc, ac in tables):
+            self.pending = (stretches[0], tables)
+        else:
+            self._walk(stretches, tables, (first, last, bits_))
+        return end
+
+    def _walk(self, stretches: list[bytes], specs: list[tuple], limits: tuple[int, int, int]) -> None:
+        """Decodes a scan block by block."""
+        self._fill()
+        first, last, bits_ = limits
+        units = self._units([p for p, _, _ in specs])
+        tables = [(p, dc and code_table(*dc), ac and code_table(*ac)) for p, dc, ac in specs]
         per = self.interval or len(units)
         for k, stretch in zip(range(0, len(units), per), stretches):
             scan = Scan(first, last, bits_ >> 4, bits_ & 15, self.progressive)
@@ -305,7 +339,6 @@ class Decoder:
                     if dc is None and first == 0 and scan.high == 0 or ac is None and last and (first or not self.progressive):
                         raise DecodeError("JPEG scan without code tables")
                     before[c] = scan.block(bits, p.held[b], dc, ac, before[c])
-        return end
 
     def _units(self, planes: list[Plane]) -> list[list[tuple[int, int]]]:
         """(component, block) of each unit; a lone component has its own blocks only, row by row."""
@@ -317,52 +350,167 @@ class Decoder:
             for y in range(self.units_high) for x in range(self.units_wide)
         ]
 
-    def _samples(self, p: Plane) -> np.ndarray:
-        if p.table not in self.quant:
-            raise DecodeError("JPEG without quantisers")
-        blocks = np.zeros((len(p.held), 64))
-        blocks[:, zigzag()] = np.array(p.held, np.int64) * self.quant[p.table]
-        m = cosines()
-        values = m.T @ blocks.reshape(-1, 8, 8) @ m + 128
-        grid = np.floor(values + 0.5).clip(0, 255).astype(np.int32).reshape(p.blocks_high, p.blocks_wide, 8, 8)
-        return grid.transpose(0, 2, 1, 3).reshape(p.blocks_high * 8, p.blocks_wide * 8)[: p.high, : p.wide]
-
-    def _upsample(self, p: Plane, a: np.ndarray) -> np.ndarray:
-        """To full size: by two with weights 3 and 1 of the neighbours, otherwise by repetition."""
-        wide, high = self.across // p.across, self.down // p.down
-        if wide == 2 and high in (1, 2) and p.across * 2 == self.across and p.down * high == self.down and p.wide > 2:
-            if high == 2:
-                up, down = np.concatenate([a[:1], a[:-1]]), np.concatenate([a[1:], a[-1:]])
-                a = np.stack([3 * a + up, 3 * a + down], axis=1).reshape(-1, a.shape[1])
-            left, right = np.concatenate([a[:, :1], a[:, :-1]], axis=1), np.concatenate([a[:, 1:], a[:, -1:]], axis=1)
-            bias, shift = ((8, 7), 4) if high == 2 else ((1, 2), 2)
-            a = np.stack([(3 * a + left + bias[0]) >> shift, (3 * a + right + bias[1]) >> shift], axis=2).reshape(len(a), -1)
-            return a[: self.height, : self.width]
-        rows = np.arange(self.height) * p.down // self.down
-        columns = np.arange(self.width) * p.across // self.across
-        return a[rows.clip(max=len(a) - 1)][:, columns.clip(max=a.shape[1] - 1)]
-
-    def _colours(self, planes: list[np.ndarray]) -> np.ndarray:
-        if len(planes) == 1:
-            return planes[0].astype(np.uint8)[..., None]
-        plain = self.adobe == 0 or (self.adobe is None and bytes(p.ident for p in self.planes) == b"RGB") or (len(planes) == 4 and self.adobe != 2)
-        rgb = planes[:3]
-        if not plain:
-            y, b, r = planes[0], planes[1] - 128, planes[2] - 128
-            # ITU-R 601 in 16-bit fixed point
-            rgb = [y + ((91881 * r + 32768) >> 16), y + ((-22554 * b - 46802 * r + 32768) >> 16), y + ((116130 * b + 32768) >> 16)]
-        out = np.stack(rgb, axis=2).clip(0, 255)
-        if len(planes) == 4:  # inks, stored inverted by those who mark them
-            ink = out * planes[3][..., None] if self.adobe is not None else (255 - out) * (255 - planes[3][..., None])
-            out = (ink + 127) // 255
-        return out.astype(np.uint8)
+
+
+def _canonical(spec: tuple[bytes, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a code table: 16-bit limits beyond which codes are longer, symbols, and what to add to a code of each length for its place."""
+    limits, offsets, symbols = np.full(16, 1 << 16), np.zeros(17, np.int64), np.zeros(256, np.int64)
+    code = place = 0
+    for i, n in enumerate(spec[0]):
+        offsets[i + 1] = place - code
+        code, place = code + n, place + n
+        limits[i] = code << (15 - i)
+        code <<= 1
+    symbols[: len(spec[1])] = list(spec[1])
+    return limits, symbols, offsets
+
+
+def _decode_in_step(group: list[Decoder]) -> np.ndarray:
+    """Fills the coefficients of pictures with one geometry; which of them are sound."""
+    lead = group[0]
+    order = [lead.planes.index(p) for p, _, _ in lead.pending[1]]
+    units = lead._units([p for p, _, _ in lead.pending[1]])
+    sequence = [(c, b) for unit in units for c, b in unit]
+    component, total, n = np.array([c for c, _ in sequence] + [0]), len(sequence), len(group)
+    streams = [d.pending[0].replace(b"\xff\x00", b"\xff") for d in group]
+    longest = max(map(len, streams)) + 16
+    raw = np.zeros((n, longest + 5), np.uint8)
+    for row, stream in zip(raw, streams):
+        row[: len(stream)] = np.frombuffer(stream, np.uint8)
+    words = np.zeros((n, longest), np.int64)
+    for i in range(5):
+        words = words << 8 | raw[:, i : i + longest]
+    words, sizes = words.reshape(-1), np.array([8 * len(x) for x in streams])
+    known: dict[tuple, int] = {}
+    tables = np.array([[known.setdefault(spec, len(known)) for _, dc, ac in d.pending[1] for spec in (dc, ac)] for d in group])
+    limits, symbols, offsets = (np.stack(x) for x in zip(*map(_canonical, known)))
+    out = np.zeros((n, total, 64), np.int32)
+    flat = out.reshape(-1)
+    alive, sound = np.arange(n), np.ones(n, bool)
+    at, block, place = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    before, base, width = np.zeros((n, len(order)), np.int64), np.arange(n) * longest, longest - 1
+    while len(alive):
+        c = component[block]
+        table = tables[alive, 2 * c + (place > 0)]
+        peek = (words[base + np.minimum(at >> 3, width)] >> (24 - (at & 7))) & 0xFFFF
+        length = (peek[:, None] >= limits[table]).sum(axis=1) + 1
+        bad = (length > 16) | (at > sizes)
+        length = np.minimum(length, 16)
+        symbol = symbols[table, (offsets[table, length] + (peek >> (16 - length))) & 255]
+        at = at + length
+        bits, zeros = symbol & 15, symbol >> 4
+        value = (words[base + np.minimum(at >> 3, width)] >> (40 - (at & 7) - bits)) & ((1 << bits) - 1)
+        value = np.where((bits > 0) & (value < (1 << bits >> 1)), value - (1 << bits) + 1, value)
+        at = at + bits
+        first = place == 0
+        lead_ = np.flatnonzero(first)
+        before[alive[lead_], c[lead_]] += value[lead_]
+        value[lead_] = before[alive[lead_], c[lead_]]
+        place = np.where(first, 0, place + zeros)
+        bad |= (place > 63) & (bits > 0)
+        some = np.flatnonzero((first | (bits > 0)) & ~bad)
+        flat[(alive[some] * total + block[some]) * 64 + place[some]] = value[some]
+        # the end of a block, or sixteen zeros
+        place = np.where(first | (bits > 0) | (zeros == 15), place + 1, 64)
+        done = place > 63
+        block, place = block + done, np.where(done, 0, place)
+        if bad.any() or (block == total).any():
+            sound[alive[bad]] = False
+            left = np.flatnonzero(~bad & (block < total))
+            alive, at, block, place, base, sizes = alive[left], at[left], block[left], place[left], base[left], sizes[left]
+    for k, index in enumerate(order):
+        mine = np.array([i for i, (c, _) in enumerate(sequence) if c == k])
+        to = np.array([b for c, b in sequence if c == k])
+        p = lead.planes[index]
+        held = np.zeros((n, p.blocks_wide * p.blocks_high, 64), np.int64)
+        held[:, to] = out[:, mine]
+        for d, own in zip(group, held):
+            d.planes[index].array = own
+    return sound
+
+
+def _samples(group: list[Decoder], index: int) -> np.ndarray:
+    """(pictures, height, width) of a component."""
+    p = group[0].planes[index]
+    held = np.stack([d.planes[index].coefficients() * d.quant[d.planes[index].table] for d in group])
+    blocks = np.zeros(held.shape)
+    blocks[..., zigzag()] = held
+    m = cosines()
+    values = m.T @ blocks.reshape(*held.shape[:2], 8, 8) @ m + 128
+    grid = np.floor(values + 0.5).clip(0, 255).astype(np.int32).reshape(len(group), p.blocks_high, p.blocks_wide, 8, 8)
+    return grid.transpose(0, 1, 3, 2, 4).reshape(len(group), p.blocks_high * 8, p.blocks_wide * 8)[:, : p.high, : p.wide]
+
+
+def _upsample(lead: Decoder, p: Plane, a: np.ndarray) -> np.ndarray:
+    """To full size: by two with weights 3 and 1 of the neighbours, otherwise by repetition."""
+    wide, high = lead.across // p.across, lead.down // p.down
+    if wide == 2 and high in (1, 2) and p.across * 2 == lead.across and p.down * high == lead.down and p.wide > 2:
+        if high == 2:
+            up, down = np.concatenate([a[:, :1], a[:, :-1]], axis=1), np.concatenate([a[:, 1:], a[:, -1:]], axis=1)
+            a = np.stack([3 * a + up, 3 * a + down], axis=2).reshape(len(a), -1, a.shape[2])
+        left, right = np.concatenate([a[..., :1], a[..., :-1]], axis=2), np.concatenate([a[..., 1:], a[..., -1:]], axis=2)
+        bias, shift = ((8, 7), 4) if high == 2 else ((1, 2), 2)
+        a = np.stack([(3 * a + left + bias[0]) >> shift, (3 * a + right + bias[1]) >> shift], axis=3).reshape(*a.shape[:2], -1)
+        return a[:, : lead.height, : lead.width]
+    rows = np.arange(lead.height) * p.down // lead.down
+    columns = np.arange(lead.width) * p.across // lead.across
+    return a[:, rows.clip(max=a.shape[1] - 1)][:, :, columns.clip(max=a.shape[2] - 1)]
+
+
+def _colours(lead: Decoder, planes: list[np.ndarray]) -> np.ndarray:
+    if len(planes) == 1:
+        return planes[0].astype(np.uint8)[..., None]
+    plain = lead.signature()[3] or (len(planes) == 4 and lead.adobe != 2)
+    rgb = planes[:3]
+    if not plain:
+        y, b, r = planes[0], planes[1] - 128, planes[2] - 128
+        # ITU-R 601 in 16-bit fixed point
+        rgb = [y + ((91881 * r + 32768) >> 16), y + ((-22554 * b - 46802 * r + 32768) >> 16), y + ((116130 * b + 32768) >> 16)]
+    out = np.stack(rgb, axis=3).clip(0, 255)
+    if len(planes) == 4:  # inks, stored inverted by those who mark them
+        ink = out * planes[3][..., None] if lead.adobe is not None else (255 - out) * (255 - planes[3][..., None])
+        out = (ink + 127) // 255
+    return out.astype(np.uint8)
+
+
+def _pixels(group: list[Decoder]) -> np.ndarray:
+    lead = group[0]
+    return _colours(lead, [_upsample(lead, p, _samples(group, i)) for i, p in enumerate(lead.planes)])
+
+
+def read_jpegs(datas: list[bytes]) -> list[np.ndarray | Exception]:
+    """(height, width, 1 or 3) uint8 of each picture, or what is wrong with it."""
+    out: list[np.ndarray | Exception | None] = [None] * len(datas)
+    groups: dict[tuple, list[tuple[int, Decoder]]] = {}
+    for i, data in enumerate(datas):
+        try:
+            d = Decoder(data, lazy=len(datas) > 1)
+            d.parse()
+            groups.setdefault(d.signature(), []).append((i, d))
+        except (Unsupported, DecodeError) as e:
+            out[i] = e
+        except (struct.error, IndexError, ValueError) as e:
+            out[i] = DecodeError(f"damaged JPEG: {e}")
+    for key, held in groups.items():
+        most = max(1, min(MAX_IN_STEP, PIXELS_IN_STEP // (key[0] * key[1])))
+        for lo in range(0, len(held), most):
+            part = held[lo : lo + most]
+            if part[0][1].pending is not None:
+                sound = _decode_in_step([d for _, d in part])
+                for (i, _), good in zip(part, sound):
+                    out[i] = None if good else DecodeError("JPEG data is cut off or damaged")
+                part = [x for x, good in zip(part, sound) if good]
+            if part:
+                for (i, _), a in zip(part, _pixels([d for _, d in part])):
+                    out[i] = a
+    return out
 
 
 def read_jpeg(data: bytes) -> np.ndarray:
-    try:
-        return Decoder(data).pixels()
-    except (struct.error, IndexError, ValueError) as e:
-        raise DecodeError(f"damaged JPEG: {e}") from e
+    found = read_jpegs([data])[0]
+    if isinstance(found, Exception):
+        raise found
+    return found
 
 
 # -- writing -----------------------------------------------------------------------

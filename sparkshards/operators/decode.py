@@ -101,7 +101,11 @@ def cbor_to_json(values: pd.Series) -> pd.Series:
 def image_to_tensor(spec: str):
     @F.pandas_udf(TENSOR)
     def decode(values: pd.Series) -> pd.DataFrame:
-        return _frame(_each(lambda v: to_row(images.to_value(images.read_image(v), spec)), "image")(values).tolist())
+        found = images.read_images([None if v is None else bytes(v) for v in values])
+        for x in found:
+            if isinstance(x, Exception):
+                raise x
+        return _frame([None if x is None else to_row(images.to_value(x, spec)) for x in found])
 
     return decode
 
@@ -143,18 +147,24 @@ def matches(name: str, extension: str) -> bool:
     return ("." + name.lower()).endswith("." + extension.lower().lstrip("."))
 
 
-def _tried(name: str, decode: Callable[[bytes], object], kind: T.DataType) -> Callable[[Column], Column]:
-    """struct<value, error> of a field: an Arrow function that keeps errors as text."""
+def _tried(name: str, decode: Callable[[bytes], object], kind: T.DataType, many: Callable[[list], list] | None = None) -> Callable[[Column], Column]:
+    """struct<value, error> of a field: an Arrow function that keeps errors as text.
+
+    ``many`` makes a batch into values and exceptions first, which ``decode`` then gets.
+    """
     made = to_arrow_type(T.StructType([T.StructField("value", kind), T.StructField("error", T.StringType())]))
 
     def one(v: bytes | None) -> dict:
         try:
+            if isinstance(v, Exception):
+                raise v
             return {"value": None if v is None else decode(v), "error": None}
         except Exception as e:
             return {"value": None, "error": f"{name}: {e}"}
 
     def run(values: pa.Array) -> pa.Array:
-        return pa.array([one(v) for v in values.to_pylist()], made)
+        held = values.to_pylist()
+        return pa.array([one(v) for v in (many(held) if many else held)], made)
 
     run.__annotations__ = {"values": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, T.StructType([T.StructField("value", kind), T.StructField("error", T.StringType())])).asNondeterministic()
@@ -164,9 +174,9 @@ def _tensor_dict(a: np.ndarray) -> dict:
     return dict(zip(("dtype", "shape", "data"), to_row(a)))
 
 
-def _binary_kinds(image_spec: str | None) -> dict[str, tuple[Callable[[bytes], object], T.DataType]]:
+def _binary_kinds(image_spec: str | None) -> dict[str, tuple]:
     """What binary fields become, by kind."""
-    out: dict[str, tuple[Callable[[bytes], object], T.DataType]] = {
+    out: dict[str, tuple] = {
         "npy": (lambda v: _tensor_dict(read_npy(v)), TENSOR),
         "npz": (lambda v: [(k, _tensor_dict(a)) for k, a in read_npz(v).items()], T.MapType(T.StringType(), TENSOR)),
         "tenbin": (lambda v: [_tensor_dict(a) for a in read_tenbin(v)], T.ArrayType(TENSOR)),
@@ -174,7 +184,7 @@ def _binary_kinds(image_spec: str | None) -> dict[str, tuple[Callable[[bytes], o
         "cbor": (lambda v: json.dumps(codecs.jsonable(codecs.unpack_cbor(v))), T.StringType()),
     }
     if image_spec:
-        out["image"] = (lambda v: _tensor_dict(images.to_value(images.read_image(v), image_spec)), TENSOR)
+        out["image"] = (lambda a: _tensor_dict(images.to_value(a, image_spec)), TENSOR, images.read_images)
     return out
 
 

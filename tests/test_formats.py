@@ -381,6 +381,14 @@ def test_jpeg_round_trip():
         for quality, most in ((100, 1), (85, 4), (30, 15)):
             back = images.read_image(jpeg.write_jpeg(a, quality))
             assert back.shape == a.shape and np.abs(back.astype(int) - a).mean() <= most
+    # many at once, of several geometries, some damaged
+    made = [jpeg.write_jpeg(_picture(rng, *shape), 85) for shape in [(40, 40, 3)] * 9 + [(16, 30, 1)] * 3]
+    made[4], made[10] = made[4][:700], b"\xff\xd8\xff"
+    for i, found in enumerate(images.read_images([*made, None])):
+        if i in (4, 10):
+            assert isinstance(found, DecodeError)
+        elif i < len(made):
+            assert (found == jpeg.read_jpeg(made[i])).all()
     data = jpeg.write_jpeg(_picture(rng, 40, 40, 3))
     for broken in (data[:2], data[:40], data[: len(data) // 2], data[:200] + b"\xff\xd9"):
         with pytest.raises(Exception, match="JPEG"):
