@@ -15,19 +15,23 @@ heaviest (essential) terms, and in some block of items its terms' block maxima m
 add up to the threshold.  Those are the pivot blocks; only their items are scored, for
 many passages at once, and cursors move in passages that have an item at the threshold.
 
-Test items are indexed in blocks of about ``block_bytes`` of text; all documents are run
-against BLOCKS_A_PASS of them at a time.  Weights and the passages' width come from
+Test items are indexed in blocks of about ``block_bytes`` of text.  Documents are read and
+hashed once; a batch of them is run against BLOCKS_A_PASS blocks at a time, which are sent
+along if they are all, and else read from files in the shared folder.  Weights and the passages' width come from
 statistics of all test items, so blocks bound memory and decide nothing: document
 frequencies are counted once on the executors, and a pass takes those of its own terms.
 
-Edge cases: null and wordless texts hold nothing; wordless items match nothing; a
+Edge cases: null and wordless texts hold nothing; wordless items match nothing; an item of
+one word has no answer, and its question alone must overlap; a
 document that repeats an item gives one row for it; repeated rows give a row each;
 null ids stay null; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -35,10 +39,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_by_text, cut, slices, small_batches
+from .common import append_by_text, cut, fresh_dir, slices, small_batches
 from .shingles import blocks, combine, word_hashes
 
 #: Words of half a passage, at least; a passage is two neighbouring halves.
@@ -257,38 +262,50 @@ def _overlap(grams: np.ndarray, passage: np.ndarray) -> float:
     return 1.0 if not len(grams) else float(np.isin(grams, passage).mean())
 
 
-def _leaks(texts: list[str | None], indexes: list[Index], overlap: float) -> Iterator[tuple[int, int | None, tuple]]:
+@dataclass
+class Indexes:
+    """The indexes of all test items: sent along if one pass holds them, else files in the shared folder, a pass each."""
+
+    held: Broadcast | None
+    paths: list[str]
+
+    def passes(self) -> Iterator[list[Index]]:
+        if self.held is not None:
+            yield self.held.value
+        for path in self.paths:
+            with _opened(path, "r") as f:
+                yield pickle.loads(f.read())
+
+
+def _opened(path: str, mode: str):
+    from pyarrow import fs
+
+    files, name = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    if mode == "r":
+        return files.open_input_stream(name, compression=None)
+    files.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    return files.open_output_stream(name, compression=None)
+
+
+def _leaks(texts: list[str | None], indexes: Indexes, overlap: float) -> Iterator[tuple[int, int | None, tuple]]:
     """(row, item, figures of its best passage) of the texts of a batch."""
     texts = [t.lower() if t else t for t in texts]
+    hashed = []
     for first, run in blocks(texts):
         starts, words = word_hashes(b" ".join(run).translate(_BLANK))
-        cuts = np.searchsorted(starts, np.cumsum([0] + [len(d) + 1 for d in run]))
-        for index in indexes:
-            best: dict[tuple[int, int], tuple] = {}
-            for doc, begin, stop, terms in index.passages(words, cuts):
-                passage = np.concatenate([combine(words[begin:stop], n) for n in (1, 2, 3)])
-                for item, score in index.search(terms):
-                    found = (score, _overlap(index.questions[item], passage), _overlap(index.answers[item], passage), begin - int(cuts[doc]))
-                    if min(found[1:3]) >= overlap and found > best.get((doc, item), (0.0,)):
-                        best[doc, item] = found
-            for (doc, item), found in best.items():
-                yield first + doc, index.ids[item], found
-
-
-def leaks_of_indexes(docs: DataFrame, indexes: list[Index], overlap: float, id_col: str, text_col: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(indexes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            ids = batch.column(0).to_pylist()
-            rows = [(ids[doc], item, *found) for doc, item, found in _leaks(batch.column(1).to_pylist(), shared.value, overlap)]
-            columns = list(zip(*rows)) or [()] * 6
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
-
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long")
+        hashed.append((first, words, np.searchsorted(starts, np.cumsum([0] + [len(d) + 1 for d in run]))))
+    for held in indexes.passes():
+        for index in held:
+            for first, words, cuts in hashed:
+                best: dict[tuple[int, int], tuple] = {}
+                for doc, begin, stop, terms in index.passages(words, cuts):
+                    passage = np.concatenate([combine(words[begin:stop], n) for n in (1, 2, 3)])
+                    for item, score in index.search(terms):
+                        found = (score, _overlap(index.questions[item], passage), _overlap(index.answers[item], passage), begin - int(cuts[doc]))
+                        if min(found[1:3]) >= overlap and found > best.get((doc, item), (0.0,)):
+                            best[doc, item] = found
+                for (doc, item), found in best.items():
+                    yield first + doc, index.ids[item], found
 
 
 def survey(items: DataFrame) -> tuple[int, int, int, DataFrame]:
@@ -326,28 +343,49 @@ def passes(items: DataFrame, threshold: float, block_bytes: int, item_col: str,
         yield [Index.build(sorted(rows, key=order), threshold, statistics) for rows in held.values()]
 
 
+def prepare(items: DataFrame, threshold: float, block_bytes: int, item_col: str, text_col: str) -> Indexes:
+    """All indexes, for one scan of the documents; the driver holds one pass at a time."""
+    spark = items.sparkSession
+    found = passes(items, threshold, block_bytes, item_col, text_col)
+    first, second = next(found), next(found, None)
+    if second is None:
+        return Indexes(spark.sparkContext.broadcast(first), [])
+    folder, paths = fresh_dir(spark, "test-items"), []
+    for held in itertools.chain([first, second], found):
+        paths.append(f"{folder}/{len(paths):06d}")
+        with _opened(paths[-1], "w") as f:
+            f.write(pickle.dumps(held, protocol=pickle.HIGHEST_PROTOCOL))
+        first = second = None
+    return Indexes(None, paths)
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.7, overlap: float = 0.5, block_bytes: int = 128 << 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row for each document and test item that it holds, with the best passage's figures."""
-    found = None
-    for indexes in passes(items, threshold, block_bytes, item_col, item_text_col):
-        leaks = leaks_of_indexes(docs, indexes, overlap, id_col, text_col)
-        found = leaks if found is None else found.unionByName(leaks)
-    return found
+    indexes = prepare(items, threshold, block_bytes, item_col, item_text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            ids = batch.column(0).to_pylist()
+            rows = [(ids[doc], item, *found) for doc, item, found in _leaks(batch.column(1).to_pylist(), indexes, overlap)]
+            columns = list(zip(*rows)) or [()] * 6
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
+
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    return rows.mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.7, overlap: float = 0.5, block_bytes: int = 128 << 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no test item."""
-    rows = docs
-    for indexes in passes(items, threshold, block_bytes, item_col, item_text_col):
-        shared = docs.sparkSession.sparkContext.broadcast(indexes)
-
-        def run(texts: list[str | None], shared=shared) -> list[pa.Array]:
-            holds = np.zeros(len(texts), bool)
-            for doc, _, _ in _leaks(texts, shared.value, overlap):
-                holds[doc] = True
-            return [pa.array(holds)]
-
-        names = [f"c{i}" for i in range(len(rows.columns))]
-        marked = append_by_text(rows.toDF(*names), names[docs.columns.index(text_col)], names, run, "holds boolean")
-        rows = marked.where("not holds").drop("holds").toDF(*docs.columns)
-    return rows
+    indexes = prepare(items, threshold, block_bytes, item_col, item_text_col)
+
+    def run(texts: list[str | None]) -> list[pa.Array]:
+        holds = np.zeros(len(texts), bool)
+        for doc, _, _ in _leaks(texts, indexes, overlap):
+            holds[doc] = True
+        return [pa.array(holds)]
+
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    marked = append_by_text(docs.toDF(*names), names[docs.columns.index(text_col)], names, run, "holds boolean")
+    return marked.where("not holds").drop("holds").toDF(*docs.columns)

@@ -16,7 +16,7 @@ import re
 import numpy as np
 
 #: Most words kept by a worker; the table is emptied beyond it.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 
 # The pre-tokeniser's pattern, on lower-cased text of _PLAIN only.
 _PIECE = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
@@ -106,7 +106,7 @@ class WordBpe:
         total = int(ends[-1]) if len(ends) else 0
         return self.flat[np.repeat(self.start[at] - (ends - counts), counts) + np.arange(total)], counts
 
-    def ids(self, texts: list[str | None], words_at_a_time: int = 200_000) -> list[np.ndarray]:
+    def ids(self, texts: list[str | None], words_at_a_time: int = 50_000) -> list[np.ndarray]:
         """Null gives no ids.  Words are split at blanks, tabs and line ends only."""
         out: list[np.ndarray] = []
         run: list[list[str]] = []
