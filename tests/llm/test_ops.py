@@ -162,6 +162,48 @@ def test_rules_and_mined_rules(spark):
     assert urlfilter.judge(pages.limit(0), labelled, RULES).count() == 0
 
 
+def test_mined_verdicts_equal_those_of_all_combinations(spark):
+    """Brute force over all token sets of a url; long shared paths, tokens that always come together, labels from explicit rules."""
+    import itertools
+
+    rng = random.Random(14)
+    urls = []
+    for i in range(300):
+        host = rng.choice(["a.shop.test", "b.shop.test", "www.news.test", "m.news.test", "x.com", "y.com"])
+        path = rng.choice(["en", "de", "win/now", "very/long/path/that/all/of/these/share", "q"])
+        urls.append(f"http://{host}/{path}/{rng.choice(['1', 'k', 'z'])}" + rng.choice(["", "?a=1", "?a=1&b=2"]))
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(900, None), (901, "no scheme")], "page_id long, url string")
+    ruled = {u: v == "block" for u in urls for _, _, _, v in [judged(u)] if v}
+    assert Counter(urlfilter.rule_labels(pages, RULES).collect()) == Counter((u, ruled[u]) for u in urls if u in ruled)
+    marked = [(u, ruled[u] if u in ruled else "win" in u or ("shop" in u and "/de/" in u) or rng.random() < 0.1) for u in urls]
+    labelled = spark.createDataFrame([*marked, (None, True), (urls[0], None)], "url string, block boolean")
+    plain = lambda x: re.sub("[0-9]+", "0", x)
+
+    def tokens(u):
+        host, path, _, _ = judged(u)
+        query = u.split("?", 1)[1] if "?" in u else ""
+        return frozenset(["h:" + plain(x) for x in host.split(".") if x] + ["p:" + plain(x) for x in path.split("/") if x] + ["q:" + plain(x.split("=")[0]) for x in query.split("&") if x])
+
+    short = lambda t: frozenset(x for x in t if x not in {"p:path", "p:that", "p:all", "p:of", "p:these", "p:share"})  # noqa: E731  always with p:very and p:long
+    both, bad = Counter(), Counter()
+    for u, block in marked:
+        for k in range(1, len(short(tokens(u))) + 1):
+            for held in itertools.combinations(sorted(short(tokens(u))), k):
+                both[held] += 1
+                bad[held] += block
+    least = 12
+    hits = {u for u in set(urls) if any(bad[held] >= least and bad[held] >= 0.7 * both[held] for k in range(1, len(short(tokens(u))) + 1) for held in itertools.combinations(sorted(short(tokens(u))), k))}
+    got = urlfilter.judge(pages, labelled, RULES, min_rows=least).collect()
+    assert len(got) == len(urls) + 2 and 0 < len(hits) < len(set(urls))
+    for r in got:
+        if r["page_id"] < 900 and r["rule"] is None:
+            assert (r["verdict"] == "block") == (r["url"] in hits), r["url"]
+        elif r["page_id"] >= 900:
+            assert r["verdict"] == "allow"
+    outside = [r for r in got if r["rule"] is None and r["verdict"] == "block"]
+    assert outside and all(r["confidence"] >= 0.7 for r in outside)
+
+
 # -- 4 decontamination -------------------------------------------------------------
 
 
