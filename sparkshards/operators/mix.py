@@ -15,14 +15,29 @@ from pyspark.sql import functions as F
 from ..functions.names import hash_key
 from .order import with_rank
 from .sampling import weighted_source
+from .transform import quoted
 
 Source = tuple[DataFrame, list[str]] | tuple[DataFrame, list[str], str | None]
 
 
 def concat(sources: list[Source]) -> DataFrame:
-    """All of the first, then all of the second, and so on.  A source may name a column that has its rank already."""
-    parts = [with_rank(df, by, "rn", rank=next(iter(rank), None)).withColumn("source", F.lit(i).cast("long")) for i, (df, by, *rank) in enumerate(sources)]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """All of the first, then all of the second, and so on.  A source may name a column that has its rank already.
+
+    Sources with the same order columns are ranked together, by source and these.
+    """
+    marked = [df.withColumn("source", F.lit(i).cast("long")) for i, (df, *_) in enumerate(sources)]
+    by = sources[0][1]
+    kinds = lambda df, by: [(c, df.schema[c].dataType) for c in by]
+    alike = all(not any(rank) and kinds(df, own) == kinds(sources[0][0], by) for df, own, *rank in sources)
+    if len(sources) > 1 and alike and "source" not in by:
+        both = reduce(lambda a, b: a.unionByName(b), marked)
+        before = Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)  # one row a source
+        counts = both.groupBy(F.col("source").alias("__of")).agg(F.count(F.lit(1)).alias("__n"))
+        firsts = counts.select("__of", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+        ranked = with_rank(both, ["source", *by], "__all").join(F.broadcast(firsts), F.col("source") == F.col("__of"))
+        return ranked.withColumn("rn", (F.col("__all") - F.col("__first")).cast("long")).drop("__all", "__of", "__first").select(*[quoted(c) for c in sources[0][0].columns if c not in ("rn", "source")], "rn", "source")
+    parts = [with_rank(df, own, "rn", rank=next(iter(rank), None)) for df, (_, own, *rank) in zip(marked, sources)]
+    return reduce(lambda a, b: a.unionByName(b), [p.select(*[quoted(c) for c in p.columns if c not in ("rn", "source")], "rn", "source") for p in parts])
 
 
 def _lengths(sources: list[Source]) -> list[int]:
