@@ -407,6 +407,24 @@ def test_quality(spark):
     assert quality.score(table.limit(0), model).count() == 0
 
 
+def test_copies_do_not_fill_the_quality_sample(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(24)
+    docs = [(1, "one text again and again")] * 500 + [(i, words(rng, 30)) for i in range(2, 90)]
+    labels = spark.createDataFrame([(i, i % 3 and 1) for i in range(1, 60)], "doc_id long, quality int")
+    taken = []
+    fit = quality.fit_nnpu
+    quality.fit_nnpu = lambda positive, unlabelled, prior: taken.append((len(positive), len(unlabelled), prior)) or fit(positive, unlabelled, prior, steps=5)
+    try:
+        for most in (1000, 10):
+            quality.train(spark.createDataFrame(docs, "doc_id long, text string"), labels, F.lit(True), sample_rows=most)
+    finally:
+        quality.fit_nnpu = fit
+    good = sum(1 for i in range(1, 60) if i % 3)
+    assert [t[:2] for t in taken] == [(good, 30), (10, 10)] and abs(taken[0][2] - good / 59) < 1e-9
+
+
 def test_risk_never_rewards_a_negative_part():
     rng = np.random.default_rng(0)
     good, bad = rng.normal(1, 1, (300, 4)), rng.normal(-1, 1, (300, 4))
@@ -440,6 +458,19 @@ def test_archives_round_trip(spark):
     assert {bytes(r["payload"]).decode() for r in read if r["payload"] is not None} == {h or "" for _, _, h in rows}
 
 
+def test_a_hot_payload(spark, monkeypatch):
+    """Most pages alike, many of them repeated rows; with and without a broadcast of the copies."""
+    rows = [(i % 90, f"u{i % 3}", "hot") for i in range(400)] + [(500 + i, "v", f"own {i}") for i in range(50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    for most in (50_000, 0):
+        monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
+        got = warc.round_trip(pages).toPandas()
+        hot = got[got["row_id"] < 90]
+        assert len(got) == 450 and Counter(hot["row_id"].astype(int)) == Counter(i for i, _, h in rows if h == "hot")
+        assert (hot["record_type"] == "response").sum() == 1 and hot[hot["record_type"] == "response"]["row_id"].tolist() == [0]
+        assert set(hot["refers_to"].dropna()) == {0} and (got[got["row_id"] >= 500]["record_type"] == "response").all()
+
+
 def test_damaged_archives_are_told():
     sink = io.BytesIO()
     writer = warc.ArchiveWriter(sink)
@@ -488,6 +519,27 @@ def test_fingerprints(spark):
     assert fingerprints.fingerprint_edits(frame(spark, [])).count() == 0
 
 
+def test_fingerprints_of_hot_and_null_ids(spark):
+    """Nine rows of ten share an id or have none; they go to several ranges, and the order stays that of ids and texts."""
+    rng = random.Random(16)
+    rows = [(7, words(rng, rng.randrange(1, 30))) for _ in range(260)] + [(None, words(rng, rng.randrange(1, 30))) for _ in range(200)] + [(7, "again and again")] * 60 + [(i, words(rng, 8)) for i in range(40)]
+    rng.shuffle(rows)
+    docs = frame(spark, rows)
+    got = fingerprints.fingerprint_edits(docs, digest="md5").toPandas()
+    order = sorted(((i, t) for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), [-ord(c) for c in r[1]] + [1]))
+    want = Counter()
+    for n, (i, t) in enumerate(order):
+        other = order[(n + 1) % len(order)][1]
+        edited = t[: len(t) - len(t) // 3] + other[: len(t) // 3]
+        want[i, hashlib.sha256(edited.encode()).hexdigest(), round(likeness(t, other), 12)] += 1
+    assert Counter((None if r.doc_id != r.doc_id else int(r.doc_id), r.edited_sha256, round(r.near_next, 12)) for r in got.itertuples()) == want
+    from pyspark.sql import functions as F
+
+    placed = docs.select("doc_id", fingerprints._head_of(F.col("text")).alias("head"))
+    ranges = placed.withColumn("r", fingerprints._ranges(placed, 16)).groupBy("doc_id", "r").count().toPandas()
+    assert (ranges[ranges["doc_id"] == 7]["r"].nunique() > 3) and ranges[ranges["doc_id"].isna()]["r"].nunique() > 3 and ranges["count"].max() < 200
+
+
 def test_differing_digests_are_recovered(spark):
     rng = random.Random(8)
     rows = [("\n".join(rng.sample(WORDS, a)), "\n".join(rng.sample(WORDS, b))) for a in (0, 1, 5, 30, 100) for b in (0, 2, 40, 100)]
