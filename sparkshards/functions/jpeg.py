@@ -43,6 +43,12 @@ def cosines() -> np.ndarray:
     return m
 
 
+@lru_cache(1)
+def samples_of_coefficients() -> np.ndarray:
+    """What each coefficient, in stream order, adds to each sample of a block."""
+    return np.kron(cosines(), cosines())[zigzag()].astype(np.float32)
+
+
 @lru_cache(64)
 def code_table(counts: bytes, symbols: bytes) -> list[int]:
     """For every 16 bits: length of the code that they begin with << 8 | its symbol; 0 for none."""
@@ -352,8 +358,9 @@ class Decoder:
 
 
 
-def _canonical(spec: tuple[bytes, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a code table: 16-bit limits beyond which codes are longer, symbols, and what to add to a code of each length for its place."""
+def _canonical(spec: tuple[bytes, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a code table: 16-bit limits beyond which codes are longer, symbols, what to add to a code of each
+    length for its place, and for 8 bits: length << 8 | symbol of the code that they begin with, 0 for a longer one."""
     limits, offsets, symbols = np.full(16, 1 << 16), np.zeros(17, np.int64), np.zeros(256, np.int64)
     code = place = 0
     for i, n in enumerate(spec[0]):
@@ -362,7 +369,12 @@ def _canonical(spec: tuple[bytes, bytes]) -> tuple[np.ndarray, np.ndarray, np.nd
         limits[i] = code << (15 - i)
         code <<= 1
     symbols[: len(spec[1])] = list(spec[1])
-    return limits, symbols, offsets
+    lengths = np.repeat(np.arange(1, 17), list(spec[0]))[: len(spec[1])]
+    brief = lengths <= 8
+    found = np.repeat(lengths[brief] << 8 | symbols[: len(spec[1])][brief], 1 << (8 - lengths[brief]))[:256]
+    short = np.zeros(256, np.int64)
+    short[: len(found)] = found
+    return limits, symbols, offsets, short
 
 
 def _decode_in_step(group: list[Decoder]) -> np.ndarray:
@@ -383,7 +395,7 @@ def _decode_in_step(group: list[Decoder]) -> np.ndarray:
     words, sizes = words.reshape(-1), np.array([8 * len(x) for x in streams])
     known: dict[tuple, int] = {}
     tables = np.array([[known.setdefault(spec, len(known)) for _, dc, ac in d.pending[1] for spec in (dc, ac)] for d in group])
-    limits, symbols, offsets = (np.stack(x) for x in zip(*map(_canonical, known)))
+    limits, symbols, offsets, short = (np.stack(x) for x in zip(*map(_canonical, known)))
     out = np.zeros((n, total, 64), np.int32)
     flat = out.reshape(-1)
     alive, sound = np.arange(n), np.ones(n, bool)
@@ -393,10 +405,15 @@ def _decode_in_step(group: list[Decoder]) -> np.ndarray:
         c = component[block]
         table = tables[alive, 2 * c + (place > 0)]
         peek = (words[base + np.minimum(at >> 3, width)] >> (24 - (at & 7))) & 0xFFFF
-        length = (peek[:, None] >= limits[table]).sum(axis=1) + 1
-        bad = (length > 16) | (at > sizes)
-        length = np.minimum(length, 16)
-        symbol = symbols[table, (offsets[table, length] + (peek >> (16 - length))) & 255]
+        found = short[table, peek >> 8]
+        length, symbol, bad = found >> 8, found & 255, at > sizes
+        more = np.flatnonzero(length == 0)
+        if len(more):
+            own, ahead = table[more], peek[more]
+            long = (ahead[:, None] >= limits[own]).sum(axis=1) + 1
+            bad[more] |= long > 16
+            length[more] = long = np.minimum(long, 16)
+            symbol[more] = symbols[own, (offsets[own, long] + (ahead >> (16 - long))) & 255]
         at = at + length
         bits, zeros = symbol & 15, symbol >> 4
         value = (words[base + np.minimum(at >> 3, width)] >> (40 - (at & 7) - bits)) & ((1 << bits) - 1)
@@ -432,12 +449,12 @@ def _decode_in_step(group: list[Decoder]) -> np.ndarray:
 def _samples(group: list[Decoder], index: int) -> np.ndarray:
     """(pictures, height, width) of a component."""
     p = group[0].planes[index]
-    held = np.stack([d.planes[index].coefficients() * d.quant[d.planes[index].table] for d in group])
-    blocks = np.zeros(held.shape)
-    blocks[..., zigzag()] = held
-    m = cosines()
-    values = m.T @ blocks.reshape(*held.shape[:2], 8, 8) @ m + 128
-    grid = np.floor(values + 0.5).clip(0, 255).astype(np.int32).reshape(len(group), p.blocks_high, p.blocks_wide, 8, 8)
+    held = np.empty((len(group), p.blocks_high * p.blocks_wide, 64), np.float32)
+    for own, d in zip(held, group):
+        np.multiply(d.planes[index].coefficients(), d.quant[d.planes[index].table], out=own, casting="unsafe")
+    values = held.reshape(-1, 64) @ samples_of_coefficients()
+    values += np.float32(128.5)
+    grid = np.floor(values).clip(0, 255).astype(np.int32).reshape(len(group), p.blocks_high, p.blocks_wide, 8, 8)
     return grid.transpose(0, 1, 3, 2, 4).reshape(len(group), p.blocks_high * 8, p.blocks_wide * 8)[:, : p.high, : p.wide]
 
 
