@@ -224,7 +224,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         repeated = rows.join(small, on, "left_semi").groupBy("doc_id", "sign", "text").agg(F.first("head").alias("head"), F.count(F.lit(1)).alias("copies"))
         rows = rows.join(small, on, "left_anti").unionByName(repeated)
     rows = rows.drop("sign")
-    rows = rows.withColumn("range", _ranges(rows, 4 * shuffle_partitions(docs.sparkSession)))
+    rows = rows.withColumn("range", _ranges(rows, 8 * shuffle_partitions(docs.sparkSession)))
     # one row a range
     heads = rows.groupBy("range").agg(F.max(F.struct("doc_id", "head")).alias("h"))
     order = Window.orderBy(F.desc("range"))
